@@ -20,58 +20,45 @@ WINTER_BREAKS = [
 ]
 
 
-def _div(a: Column, n: int) -> Column:
-    return F.floor(a / F.lit(n)).cast("int")
-
-
-def easter_sunday(year: Column) -> Column:
-    """Gregorian Easter by the epact: full moon date from the golden number, then next Sunday."""
-    century = _div(year, 100)
-    golden = year % 19
-    epact = (century - _div(century, 4) - _div(century * 8 + 13, 25) + golden * 19 + 15) % 30
-    late = F.when((epact == 29) | ((epact == 28) & (golden > 10)), 1).otherwise(0)
-    moon = epact - late
-    weekday = (year + _div(year, 4) + moon + 2 - century + _div(century, 4)) % 7
-    return F.date_add(F.make_date(year, F.lit(3), F.lit(28)), moon - weekday)
-
-
-def holiday_dates(year: Column) -> Column:
-    """Array of the statutory holidays of a year."""
-    fixed = [F.make_date(year, F.lit(m), F.lit(d)) for m, d in FIXED_HOLIDAYS]
-    movable = [F.date_add(easter_sunday(year), d) for d in MOVABLE_HOLIDAYS]
-    return F.array(*fixed, *movable)
-
-
-def is_holiday(day: Column) -> Column:
-    return F.array_contains(holiday_dates(F.year(day)), day)
-
-
-def is_school_day(day: Column) -> Column:
-    month, dom = F.month(day), F.dayofmonth(day)
-    easter = easter_sunday(F.year(day))
-    free = (
-        F.dayofweek(day).isin(1, 7)
-        | is_holiday(day)
-        | month.isin(7, 8)
-        | ((month == 6) & (dom >= 25))
-        | ((month == 12) & (dom >= 23))
-        | day.between(F.date_add(easter, -3), F.date_add(easter, 2))
-        | ((month == 10) & (dom == 14))
-    )
-    for first, last in WINTER_BREAKS:
-        free = free | day.between(F.lit(first).cast("date"), F.lit(last).cast("date"))
-    return ~free
+# Gregorian Easter by the epact: the full moon date from the golden number, then next Sunday.
+_EPACT = "(y div 100 - y div 400 - (8 * (y div 100) + 13) div 25 + 19 * (y % 19) + 15) % 30"
+_MOON = "epact - if(epact = 29 or (epact = 28 and y % 19 > 10), 1, 0)"
+_EASTER = "date_add(make_date(y, 3, 28), moon - cast((y + y div 4 + moon + 2 - y div 100 + y div 400) % 7 as int))"
+
+
+def with_easter(df: DataFrame, day: str = "day", name: str = "easter") -> DataFrame:
+    """Add Easter Sunday of the year of ``day``."""
+    staged = df.withColumn("y", F.year(day)).withColumn("epact", F.expr(_EPACT).cast("int"))
+    return staged.withColumn("moon", F.expr(_MOON)).withColumn(name, F.expr(_EASTER)).drop("y", "epact", "moon")
+
+
+def is_holiday(day: str, easter: str) -> Column:
+    """Holiday test; ``day`` and ``easter`` are SQL expressions of the same year."""
+    fixed = " or ".join(f"(month({day}) = {m} and day({day}) = {d})" for m, d in FIXED_HOLIDAYS)
+    return F.expr(f"{fixed} or datediff({day}, {easter}) in ({', '.join(map(str, MOVABLE_HOLIDAYS))})")
+
+
+def is_free_of_school(day: str, easter: str) -> Column:
+    """Free days that are not public holidays."""
+    winter = " or ".join(f"{day} between date'{a}' and date'{b}'" for a, b in WINTER_BREAKS)
+    return F.expr(
+        f"dayofweek({day}) in (1, 7) or month({day}) in (7, 8) or (month({day}) = 6 and day({day}) >= 25)"
+        f" or (month({day}) = 12 and day({day}) >= 23) or (month({day}) = 10 and day({day}) = 14)"
+        f" or datediff({day}, {easter}) between -3 and 2 or {winter}")
 
 
 def calendar_flags(days: DataFrame, day: str = "day") -> DataFrame:
-    """Flags for a column of dates. Each day is judged on its own: no join, no sort."""
-    d = F.col(day)
-    workday = ~F.dayofweek(d).isin(1, 7)
-    return days.select(
-        d.cast("string").alias("calendar_date"),
-        is_school_day(d).cast("int").alias("is_school_day"),
-        is_holiday(d).cast("int").alias("is_public_holiday"),
-        (workday & is_holiday(F.date_add(d, 1))).cast("int").alias("is_holiday_eve"),
+    """Flags for a column of dates. Each day is judged on its own: no join, no sort.
+
+    The eve test needs no other year's Easter: 31 December precedes a fixed holiday.
+    """
+    rows = with_easter(days.select(F.col(day).alias("day")))
+    holiday = is_holiday("day", "easter")
+    return rows.select(
+        F.col("day").cast("string").alias("calendar_date"),
+        (~(holiday | is_free_of_school("day", "easter"))).cast("int").alias("is_school_day"),
+        holiday.cast("int").alias("is_public_holiday"),
+        (F.expr("dayofweek(day) between 2 and 6") & is_holiday("date_add(day, 1)", "easter")).cast("int").alias("is_holiday_eve"),
     )
 
 

@@ -2,7 +2,7 @@
 
 A plain ``lag`` window puts every row of a key into one task. Here a key is cut into time
 chunks, each chunk is sorted on its own, and only the first and last row of each chunk meet
-in a second, tiny window that carries values over chunk borders. Results equal the plain
+in a second window that carries values over chunk borders. Results equal the plain
 window for any chunk width.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_FIRST, _LAST, _CHUNK = "__first", "__last", "__chunk"
+_FIRST, _LAST, _CHUNK, _SLOT = "__first", "__last", "__chunk", "__slot"
 
 
 def with_neighbours(
@@ -26,24 +26,24 @@ def with_neighbours(
 ) -> DataFrame:
     """Add previous-row values (``lag``) and next-row values (``lead``) within each key.
 
-    ``chunk`` must not decrease along ``order`` (e.g. hour of the ordering time).
+    ``chunk`` must not decrease along ``order`` (e.g. hour of the ordering time). The second
+    window groups the border rows of a key together and leaves every other row in the group of
+    its own chunk, so the plan stays one straight line that reads its input once.
     """
     lag, lead = lag or {}, lead or {}
-    df = df.withColumn(_CHUNK, chunk)
     local = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(_CHUNK, *order)
+    across = Window.partitionBy(*keys, _SLOT).orderBy(_CHUNK, *order)
+    first, last = F.col(_FIRST), F.col(_LAST)
 
     cols = {_FIRST: F.lag(F.lit(1)).over(local).isNull(), _LAST: F.lead(F.lit(1)).over(local).isNull()}
     cols.update({n: F.lag(c).over(local) for n, c in lag.items()})
     cols.update({n: F.lead(c).over(local) for n, c in lead.items()})
-    marked = df.withColumns(cols)
-
-    inner = marked.filter(~F.col(_FIRST) & ~F.col(_LAST))
-    border = marked.filter(F.col(_FIRST) | F.col(_LAST))
-    carried = {n: F.when(F.col(_FIRST), F.lag(c).over(across)).otherwise(F.col(n)) for n, c in lag.items()}
-    carried.update({n: F.when(F.col(_LAST), F.lead(c).over(across)).otherwise(F.col(n)) for n, c in lead.items()})
-    fixed = border.withColumns(carried)
-    return inner.unionByName(fixed).drop(_FIRST, _LAST, _CHUNK)
+    marked = df.withColumn(_CHUNK, chunk).withColumns(cols)
+    carried = {n: F.when(first, F.lag(c).over(across)).otherwise(F.col(n)) for n, c in lag.items()}
+    carried.update({n: F.when(last, F.lead(c).over(across)).otherwise(F.col(n)) for n, c in lead.items()})
+    # Border rows share one slot per key; other rows keep their chunk.
+    slot = F.when(first | last, F.lit(-(2**62))).otherwise(F.col(_CHUNK))
+    return marked.withColumn(_SLOT, slot).withColumns(carried).drop(_FIRST, _LAST, _CHUNK, _SLOT)
 
 
 def with_running_total(

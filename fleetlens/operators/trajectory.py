@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import clock
+from fleetlens.functions.rounding import round_half_up
 from fleetlens.operators.chunked import with_neighbours
 from fleetlens.operators.latest import latest_per_key
 
@@ -50,7 +51,7 @@ def progress_columns() -> dict[str, Column]:
     span = F.col("max_seq") - F.col("min_seq")
     done = (F.col("stop_sequence") - F.col("min_seq")).cast("double")
     return {
-        "trip_progress": F.when(span > 0, F.round(done / F.nullif(span, F.lit(0)), 3)).otherwise(0.0),
+        "trip_progress": F.when(span > 0, round_half_up(done / F.nullif(span, F.lit(0)), 3)).otherwise(0.0),
         "is_origin_stop": F.col("stop_sequence") == F.col("min_seq"),
         "is_terminal_stop": (F.col("stop_sequence") == F.col("max_seq")) & (span > 0),
     }
@@ -93,12 +94,18 @@ def update_delta_columns() -> dict[str, Column]:
 
 
 def with_headway(
-    df: DataFrame, keys: Sequence[str], time: str, name: str, tie: Sequence[str], chunk_seconds: int = HOUR
+    df: DataFrame, keys: Sequence[str], time: str, name: str, tie: Sequence[str], chunk_seconds: int | None = HOUR
 ) -> DataFrame:
-    """Seconds since the previous row of the same keys; hot keys are cut into time chunks."""
-    prev = "__prev_time"
+    """Seconds since the previous row of the same keys.
+
+    Hot keys are cut into time chunks; with ``chunk_seconds=None`` (keys that already hold a
+    service day) one plain window does.
+    """
     t = F.col(time)
     order = [t.asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in tie]]
+    if chunk_seconds is None:
+        return df.withColumn(name, t - F.lag(t).over(Window.partitionBy(*keys).orderBy(*order)))
+    prev = "__prev_time"
     # Rows without a time sort last in their own chunk, and their headway is null anyway.
     chunk = F.coalesce(F.floor(t / F.lit(chunk_seconds)), F.lit(2**62))
     near = with_neighbours(df, keys, order, chunk, lag={prev: t})
@@ -146,11 +153,11 @@ def trajectory_summary(trajectory: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_records"),
         F.countDistinct("trip_id").alias("distinct_trips"),
         F.countDistinct("route_id").alias("distinct_routes"),
-        F.round(F.avg(d), 2).alias("mean_delta_t_run"),
-        F.round(F.median(d), 2).alias("median_delta_t_run"),
-        F.round(F.stddev(d), 2).alias("std_delta_t_run"),
-        F.round(F.avg("delta_t_dwell"), 2).alias("mean_delta_t_dwell"),
-        F.round(F.avg("headway_actual_s"), 1).alias("mean_headway_s"),
-        F.round(F.median("headway_actual_s"), 1).alias("median_headway_s"),
+        round_half_up(F.avg(d), 2).alias("mean_delta_t_run"),
+        round_half_up(F.median(d), 2).alias("median_delta_t_run"),
+        round_half_up(F.stddev(d), 2).alias("std_delta_t_run"),
+        round_half_up(F.avg("delta_t_dwell"), 2).alias("mean_delta_t_dwell"),
+        round_half_up(F.avg("headway_actual_s"), 1).alias("mean_headway_s"),
+        round_half_up(F.median("headway_actual_s"), 1).alias("median_headway_s"),
         F.count("prev_stop_id").alias("segments_with_prev_stop"),
     )

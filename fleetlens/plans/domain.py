@@ -193,3 +193,77 @@ def dimensions(spark: SparkSession, sf: str) -> Dimensions:
         weather=weather(spark, sf), links=road_links(spark, sf),
         calendar=calendar_flags(service_days(spark, sf)), hubs=stop_hubs(spark, sf),
     )
+
+
+def schedule_trips(spark: SparkSession, sf: str) -> DataFrame:
+    """Timetable trips; the service id says which weekday pattern a trip belongs to."""
+    pattern = F.when(F.dayofweek(F.to_date("service_date")).isin(1, 7), "WE").otherwise("WD")
+    return trips(spark, sf).select("trip_id", "route_id", "brigade", pattern.alias("service_id"), "trip_no", "start_sec", "service_date")
+
+
+def hhmmss(seconds: Column) -> Column:
+    s = seconds.cast("long")
+    return F.format_string("%02d:%02d:%02d", F.floor(s / F.lit(3600)), F.floor(s / F.lit(60)) % 60, s % 60)
+
+
+def stop_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Timetable stops of every trip, times as text."""
+    rows = latest_lines(spark, sf).join(trips(spark, sf), F.col("l_orderkey") == F.col("trip_no"))
+    at = F.col("start_sec") + F.col("l_linenumber") * 150
+    stop_no = (F.col("r") * 5 + F.col("l_partkey") % 12) % 100
+    return rows.select(
+        "trip_id", F.col("l_linenumber").alias("stop_sequence"), F.concat(F.lit("S"), _t(stop_no)).alias("stop_id"),
+        hhmmss(at).alias("arrival_time"), hhmmss(at + (F.col("l_quantity").cast("int") % 4) * 10).alias("departure_time"))
+
+
+def _stop_lat(stop_no: Column) -> Column:
+    return F.lit(52.1) + stop_no * F.lit(0.002)
+
+
+def _stop_lon(stop_no: Column) -> Column:
+    return F.lit(20.9) + (stop_no % 10) * F.lit(0.003)
+
+
+def stops(spark: SparkSession, sf: str) -> DataFrame:
+    """Stops named by the timetable."""
+    no = F.substring("stop_id", 2, 10).cast("int")
+    return stop_times(spark, sf).select("stop_id").distinct().select(
+        "stop_id", F.concat(F.lit("Stop "), _t(no)).alias("stop_name"),
+        _stop_lat(no).alias("stop_lat"), _stop_lon(no).alias("stop_lon"))
+
+
+def vehicle_fixes(spark: SparkSession, sf: str) -> DataFrame:
+    """Seven fixes around every timetable stop: a vehicle that approaches, passes and leaves."""
+    rows = _line_values(latest_lines(spark, sf)).join(trips(spark, sf), F.col("l_orderkey") == F.col("trip_no"))
+    stop_no = (F.col("r") * 5 + F.col("l_partkey") % 12) % 100
+    side = F.when(F.col("l_suppkey") % 13 == 0, 70).otherwise((F.col("l_partkey") % 5) * 8)
+    gps = F.col("day_epoch") + F.col("start_sec") + F.col("l_linenumber") * 150 + F.col("delay") + F.col("j") * 12
+    age = F.when(F.col("l_partkey") % 50 == 0, 400).when(F.col("l_partkey") % 50 == 1, 3600).otherwise(F.col("q") % 5)
+    wide = rows.withColumn("j", F.explode(F.sequence(F.lit(-3), F.lit(3))))
+    base = wide.select(
+        "service_date", "vehicle_type",
+        F.when(F.col("l_suppkey") % 11 == 0, "X1").otherwise(F.col("vehicle_id")).alias("vehicle_number"),
+        "route_id", "brigade",
+        (_stop_lat(stop_no) + side / F.lit(111271.72)).alias("lat"),
+        (_stop_lon(stop_no) + F.col("j") * 11 / F.lit(68325.49)).alias("lon"),
+        gps.alias("gps_timestamp_utc"), (gps + age).alias("tick_ts"), "trip_id")
+    from fleetlens.functions import clock
+
+    text = F.substring(clock.epoch_to_local("gps_timestamp_utc").cast("string"), 1, 19)
+    return base.withColumn("gps_time_str", text)
+
+
+def raw_pings(spark: SparkSession, sf: str) -> DataFrame:
+    """Event pings with a coarse onboard clock, so that repeats occur."""
+    k = F.col("k")
+    e = events_k(spark, sf)
+    day = F.floor(F.col("epoch") / F.lit(86400)) * 86400
+    return e.select(
+        F.lit("all").alias("service_date"),
+        F.when(F.col("user_id") % 3 == 0, "tram").otherwise("bus").alias("vehicle_type"),
+        _t(F.col("user_id") % 40).alias("vehicle_number"),
+        F.lit("190").alias("route_id"), F.lit("1").alias("brigade"),
+        (F.lit(52.2) + (k % 2) * F.lit(0.001)).alias("lat"), (F.lit(21.0) + (k % 3) * F.lit(0.0001)).alias("lon"),
+        (day + F.floor(F.col("epoch") % 86400 / F.lit(43200)) * 43200).alias("gps_timestamp_utc"),
+        _t(day + F.floor(F.col("epoch") % 86400 / F.lit(43200)) * 43200).alias("gps_time_str"),
+        F.col("epoch").alias("tick_ts"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import clock, transit
+from fleetlens.functions.rounding import round_half_up
 from fleetlens.operators import dimensions as dim
 from fleetlens.operators import trajectory as tr
 
@@ -104,10 +105,14 @@ def observed_links(
 
 
 def with_upstream_headways(links: DataFrame) -> DataFrame:
-    """Actual and scheduled gap behind the previous vehicle leaving the previous stop."""
+    """Actual and scheduled gap behind the previous vehicle leaving the previous stop.
+
+    The keys hold the service day, which cuts a busy (route, stop) into days; both orders and
+    the hourly median below then share one shuffle.
+    """
     keys, tie = ["service_date", "route_id", "prev_stop_id"], ["trip_id", "stop_sequence"]
-    actual = tr.with_headway(links, keys, "prev_actual_dep", "raw_headway_actual_s", tie)
-    both = tr.with_headway(actual, keys, "prev_sched_dep", "raw_headway_sched_s", tie)
+    actual = tr.with_headway(links, keys, "prev_actual_dep", "raw_headway_actual_s", tie, None)
+    both = tr.with_headway(actual, keys, "prev_sched_dep", "raw_headway_sched_s", tie, None)
     a, s = F.col("raw_headway_actual_s"), F.col("raw_headway_sched_s")
     return both.withColumns(
         {
@@ -130,8 +135,8 @@ def adjacent_stops(exclude_terminals: bool = True) -> Column:
 def with_headway_deviation(rows: DataFrame) -> DataFrame:
     """Deviation from the scheduled gap, else from the hourly median gap, else 0.
 
-    The median group is one hour of one stop, route and day, the same unit that headways are
-    chunked by, so a window is safe here and saves the join back.
+    The median group is one hour of one stop, route and day; its window reuses the headway
+    shuffle and saves the join back.
     """
     hourly = Window.partitionBy("service_date", "route_id", "prev_stop_id", "hour_of_day")
     gap = F.col("headway_actual_s")
@@ -247,22 +252,22 @@ def legacy_mart(
 
 def mart_summary(mart: DataFrame) -> DataFrame:
     d = F.col("delta_t_run")
-    dwell = F.round(F.avg("dwell_seconds"), 2) if "dwell_seconds" in mart.columns else F.lit(0.0)
+    dwell = round_half_up(F.avg("dwell_seconds"), 2) if "dwell_seconds" in mart.columns else F.lit(0.0)
 
     def percent(cond: Column) -> Column:
-        return F.round(F.count_if(cond) * 100.0 / F.count(F.lit(1)), 1)
+        return round_half_up(F.count_if(cond) * 100.0 / F.count(F.lit(1)), 1)
 
     return mart.agg(
         F.count(F.lit(1)).alias("total_observations"),
         F.countDistinct("trip_id").alias("distinct_trips"),
         F.countDistinct("route_id").alias("distinct_routes"),
         F.sum("is_study_corridor").alias("study_corridor_observations"),
-        F.round(F.avg(d), 2).alias("avg_delta_t_run"),
-        F.round(F.median(d), 2).alias("median_delta_t_run"),
-        F.round(F.stddev(d), 2).alias("std_delta_t_run"),
-        F.round(F.avg("segment_length_meters"), 1).alias("avg_segment_meters"),
-        F.round(F.avg("signalized_intersection_count"), 2).alias("avg_signals"),
-        F.round(F.avg("temperature_c"), 1).alias("avg_temperature_c"),
+        round_half_up(F.avg(d), 2).alias("avg_delta_t_run"),
+        round_half_up(F.median(d), 2).alias("median_delta_t_run"),
+        round_half_up(F.stddev(d), 2).alias("std_delta_t_run"),
+        round_half_up(F.avg("segment_length_meters"), 1).alias("avg_segment_meters"),
+        round_half_up(F.avg("signalized_intersection_count"), 2).alias("avg_signals"),
+        round_half_up(F.avg("temperature_c"), 1).alias("avg_temperature_c"),
         percent(F.col("is_peak_hour") == 1).alias("peak_hour_pct"),
         percent(F.col("is_tram") == 1).alias("tram_share_pct"),
         dwell.alias("avg_dwell_s"),
@@ -272,7 +277,7 @@ def mart_summary(mart: DataFrame) -> DataFrame:
 def mart_by_corridor(mart: DataFrame) -> DataFrame:
     return mart.groupBy(F.coalesce("corridor_name", F.lit("non_study_network")).alias("corridor")).agg(
         F.count(F.lit(1)).alias("obs"),
-        F.round(F.avg("delta_t_run"), 2).alias("avg_delta_t_run"),
-        F.round(F.avg("segment_length_meters"), 1).alias("avg_length_m"),
-        F.round(F.avg("signalized_intersection_count"), 2).alias("avg_signals"),
+        round_half_up(F.avg("delta_t_run"), 2).alias("avg_delta_t_run"),
+        round_half_up(F.avg("segment_length_meters"), 1).alias("avg_length_m"),
+        round_half_up(F.avg("signalized_intersection_count"), 2).alias("avg_signals"),
     )

@@ -122,3 +122,33 @@ def with_views(names: list[str], sql: str, extra: list[tuple[str, str]] = ()) ->
     if not steps:
         return sql
     return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in steps) + "\n" + sql
+
+_HHMMSS = "format('{{:02d}}:{{:02d}}:{{:02d}}', ({s})//3600, (({s})//60) % 60, ({s}) % 60)"
+
+_view("schedule_trips", ["trips"], """SELECT trip_id, route_id, brigade, trip_no, start_sec, service_date,
+ CASE WHEN dayofweek(service_date::DATE) IN (0, 6) THEN 'WE' ELSE 'WD' END AS service_id FROM trips""")
+
+_view("stop_times", ["trips", "latest_lines"], f"""
+SELECT trip_id, l_linenumber AS stop_sequence, 'S'||((r*5 + l_partkey % 12) % 100)::VARCHAR AS stop_id,
+ {_HHMMSS.format(s='start_sec + l_linenumber*150')} AS arrival_time,
+ {_HHMMSS.format(s='start_sec + l_linenumber*150 + (l_quantity::INTEGER % 4)*10')} AS departure_time
+FROM latest_lines JOIN trips ON l_orderkey = trip_no""")
+
+_view("stops", ["stop_times"], """
+SELECT stop_id, 'Stop '||n::VARCHAR AS stop_name, 52.1::DOUBLE + n*0.002::DOUBLE AS stop_lat,
+ 20.9::DOUBLE + (n % 10)*0.003::DOUBLE AS stop_lon
+FROM (SELECT DISTINCT stop_id, substring(stop_id, 2)::INTEGER AS n FROM stop_times)""")
+
+_view("vehicle_fixes", ["trips", "latest_lines"], f"""
+SELECT service_date, vehicle_type, CASE WHEN l_suppkey % 11 = 0 THEN 'X1' ELSE vehicle_id END AS vehicle_number, route_id, brigade,
+ 52.1::DOUBLE + n*0.002::DOUBLE + (CASE WHEN l_suppkey % 13 = 0 THEN 70 ELSE (l_partkey % 5)*8 END)/111271.72::DOUBLE AS lat,
+ 20.9::DOUBLE + (n % 10)*0.003::DOUBLE + j*11/68325.49::DOUBLE AS lon, gps AS gps_timestamp_utc,
+ gps + CASE WHEN l_partkey % 50 = 0 THEN 400 WHEN l_partkey % 50 = 1 THEN 3600 ELSE q % 5 END AS tick_ts, trip_id,
+ strftime(timezone('Europe/Warsaw', to_timestamp(gps)), '%Y-%m-%d %H:%M:%S') AS gps_time_str
+FROM (SELECT *, (r*5 + l_partkey % 12) % 100 AS n, day_epoch + start_sec + l_linenumber*150 + delay + j*12 AS gps
+ FROM ({_LINE} FROM latest_lines) JOIN trips ON l_orderkey = trip_no CROSS JOIN (SELECT unnest(range(-3, 4)) AS j))""")
+
+_view("raw_pings", ["events_k"], """
+SELECT 'all' AS service_date, CASE WHEN user_id % 3 = 0 THEN 'tram' ELSE 'bus' END AS vehicle_type, (user_id % 40)::VARCHAR AS vehicle_number,
+ '190' AS route_id, '1' AS brigade, 52.2::DOUBLE + (k % 2)*0.001::DOUBLE AS lat, 21.0::DOUBLE + (k % 3)*0.0001::DOUBLE AS lon,
+ (epoch // 43200)*43200 AS gps_timestamp_utc, ((epoch // 43200)*43200)::VARCHAR AS gps_time_str, epoch AS tick_ts FROM events_k""")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,19 +31,38 @@ def get_spark(app_name: str = "fleetlens", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder that the session names.
-
-    Only when the setting is absent (local tests) is a scratch folder made here.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the session names; in local runs without one, a scratch folder."""
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if not folder:
-        local = spark.sparkContext.master.startswith("local")
-        if not local:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
         spark.conf.set(CHECKPOINT_CONF, folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the reliable, shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Build a dataset once per application, as Parquet in the shared folder, then read it.
+
+    Later jobs scan only the columns they need instead of repeating the build.
+    """
+    app = spark.sparkContext.applicationId
+    path = _STORED.get((app, key))
+    if path is None:
+        name = re.sub(r"[^A-Za-z0-9_.-]", "_", key)
+        path = f"{shared_folder(spark)}/stored-{app}/{name}"
+        build().write.mode("overwrite").parquet(path)
+        _STORED[(app, key)] = path
+    return spark.read.parquet(path)
