@@ -41,7 +41,7 @@ def collapse(spark, sf):
 
 @query("w12_movement", with_views(["raw_pings"], comparable_sql(MOVED, "moved"), movement_steps("raw_pings")))
 def movement(spark, sf):
-    return comparable(kinematics.with_movement(kinematics.collapse_repeats(domain.raw_pings(spark, sf))).select(*MOVED))
+    return comparable(kinematics.with_movement(kinematics.clean_fixes(domain.raw_pings(spark, sf))).select(*MOVED))
 
 
 CALENDAR = ("weekly", """SELECT 'WD' AS service_id, 1 AS monday, 1 AS tuesday, 1 AS wednesday, 1 AS thursday, 1 AS friday, 0 AS saturday, 0 AS sunday,
@@ -111,7 +111,8 @@ MATCH = [CALENDAR, EXCEPTIONS, ACTIVE, SPANS, DAILY,
        CASE WHEN s < 18000 AND s + 86400 BETWEEN st - 900 AND en + 2700 THEN CASE WHEN s + 86400 < st THEN st - s - 86400 + 900 WHEN s + 86400 <= en THEN 0 ELSE s + 86400 - en END ELSE 1000000000 END) AS cost
       FROM timed JOIN usable USING (service_date, route_id, brigade)"""),
     ("best", "SELECT fix_no, tid FROM costed WHERE cost < 1000000000 QUALIFY row_number() OVER (PARTITION BY fix_no ORDER BY cost, trip_start, tid) = 1"),
-    ("silver", "SELECT timed.*, tid AS matched_trip_id FROM timed LEFT JOIN best USING (fix_no)")]
+    ("silver", """SELECT timed.* REPLACE (delta_t_s::FLOAT AS delta_t_s, delta_d_m::FLOAT AS delta_d_m, speed_mps::FLOAT AS speed_mps),
+       tid AS matched_trip_id FROM timed LEFT JOIN best USING (fix_no)""")]
 SILVER_KINDS = {**MOVED, "route_id": "s", "brigade": "s", "gps_time_str": "s", "matched_trip_id": "s"}
 FIX_COLUMNS = ["service_date", "vehicle_type", "vehicle_number", "route_id", "brigade", "lat", "lon", "gps_timestamp_utc", "gps_time_str", "tick_ts"]
 
@@ -120,9 +121,9 @@ def trajectories(spark, sf):
     return silver.trajectories(domain.vehicle_fixes(spark, sf).select(*FIX_COLUMNS), spans(spark, sf), active(spark, sf))
 
 
-@query("c1_silver_trajectories", with_views(["vehicle_fixes", "schedule_trips", "stop_times"], comparable_sql(SILVER_KINDS, "silver", 1), MATCH))
+@query("c1_silver_trajectories", with_views(["vehicle_fixes", "schedule_trips", "stop_times"], comparable_sql(SILVER_KINDS, "silver", 2), MATCH))
 def silver_trajectories(spark, sf):
-    return comparable(trajectories(spark, sf).select(*SILVER_KINDS), 1)
+    return comparable(trajectories(spark, sf).select(*SILVER_KINDS), 2)
 
 
 @query("j9_interval_nearest_trip", with_views(["vehicle_fixes", "schedule_trips", "stop_times"], """SELECT service_date, vehicle_number, gps_timestamp_utc, tick_ts, route_id, brigade, matched_trip_id FROM silver""", MATCH))
