@@ -88,7 +88,8 @@ def panel_predictions(spark, sf):
 
 @query("m7_winsorized", observed_oracle("""SELECT trip_id, stop_sequence::BIGINT AS stop_sequence, round(greatest(lo, least(hi, COALESCE(headway_deviation, 0))), 6) + 0.0 AS headway_deviation,
   round(greatest(plo, least(phi, prev_stop_delay)), 6) + 0.0 AS prev_stop_delay FROM mart, (SELECT quantile_cont(COALESCE(headway_deviation, 0), 0.01) AS lo, quantile_cont(COALESCE(headway_deviation, 0), 0.99) AS hi FROM labelled WHERE split = 'train'),
-  (SELECT quantile_cont(prev_stop_delay::DOUBLE, t) AS plo, quantile_cont(prev_stop_delay::DOUBLE, 1 - t) AS phi FROM (SELECT prev_stop_delay, (SELECT greatest(0.0005, least(0.01, 2.0/count(*))) FROM labelled WHERE split = 'train') AS t FROM labelled WHERE split = 'train') GROUP BY t)""".replace("quantile_cont(prev_stop_delay::DOUBLE, t)", "quantile_cont(prev_stop_delay::DOUBLE, 0.0005)").replace("quantile_cont(prev_stop_delay::DOUBLE, 1 - t)", "quantile_cont(prev_stop_delay::DOUBLE, 0.9995)"), SPLIT_STEPS))
+  (SELECT v[1 + floor(a)::BIGINT] + (a - floor(a))*(v[least(2 + floor(a)::BIGINT, n)] - v[1 + floor(a)::BIGINT]) AS plo, v[1 + floor(b)::BIGINT] + (b - floor(b))*(v[least(2 + floor(b)::BIGINT, n)] - v[1 + floor(b)::BIGINT]) AS phi
+   FROM (SELECT *, (n - 1)*tail AS a, (n - 1)*(1 - tail) AS b FROM (SELECT list_sort(list(prev_stop_delay::DOUBLE)) AS v, count(*) AS n, greatest(0.0005, least(0.01, 2.0::DOUBLE/count(*)))::DOUBLE AS tail FROM labelled WHERE split = 'train')))""", SPLIT_STEPS))
 def winsorized(spark, sf):
     train = labelled(spark, sf).filter("split = 'train'")
     cols = ["headway_deviation", "prev_stop_delay"]

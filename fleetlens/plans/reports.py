@@ -353,3 +353,17 @@ def link_weather_preview(updates: DataFrame, links: DataFrame, weather: DataFram
         F.col("signalized_intersection_count").alias("signals"),
         F.col("is_dedicated_right_of_way").alias("dedicated_row"))
     return out.orderBy(*out.columns).limit(limit)
+
+
+def source_coverage(sources: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """Rows, keys and time range per source (name to table, key column, epoch column), the range
+    all sources share, and whether there is one."""
+    out = None
+    for name, (df, key, time) in sources.items():
+        row = df.agg(F.lit(name).alias("source"), rows_count("rows"), F.countDistinct(key).alias("keys"),
+                     F.min(time).cast("long").alias("first_epoch"), F.max(time).cast("long").alias("last_epoch"))
+        out = row if out is None else out.unionByName(row)
+    # One row per source: a keyless window is enough.
+    every = Window.partitionBy()
+    return out.withColumns({"overlap_start": F.max("first_epoch").over(every), "overlap_end": F.min("last_epoch").over(every)}).withColumn(
+        "is_ready", F.col("overlap_start") <= F.col("overlap_end"))
