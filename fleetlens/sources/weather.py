@@ -13,6 +13,12 @@ ARCHIVE_RAIN, ARCHIVE_MIN_FIELDS, ARCHIVE_FIELDS = 40, 30, 60
 ARRAY_DEFAULTS = {"temperature_2m": 11.3, "relative_humidity_2m": 75.0, "precipitation": 0.0, "wind_speed_10m": 3.0}
 
 
+def latin2(text: Column) -> Column:
+    """Text of an ISO-8859-2 file that was read as ISO-8859-1, the only one-byte set the reader offers."""
+    high = bytes(range(0xA0, 0x100))
+    return F.translate(text, high.decode("iso-8859-1"), high.decode("iso-8859-2"))
+
+
 def freezing_rain(mm: Column, temp: Column) -> Column:
     return (mm > 0) & F.coalesce(temp <= 0, F.lit(False))
 
@@ -35,12 +41,14 @@ def live_records(raw: DataFrame) -> DataFrame:
 def archive(spark: SparkSession, path: str, station: str | None = None) -> DataFrame:
     """Hourly rows of positional archive files in ISO-8859-2 with at least thirty fields."""
     schema = ", ".join(f"_c{i} string" for i in range(ARCHIVE_FIELDS))
-    raw = spark.read.option("encoding", "ISO-8859-2").option("ignoreLeadingWhiteSpace", True).option(
+    raw = spark.read.option("encoding", "iso-8859-1").option("ignoreLeadingWhiteSpace", True).option(
         "ignoreTrailingWhiteSpace", True).schema(schema).csv(path)
 
     def field(i: int) -> Column:
         return F.trim(F.col(f"_c{i}"))
 
+    name = latin2(field(1))
+
     at = F.concat(field(2), F.lit("-"), F.lpad(field(3), 2, "0"), F.lit("-"), F.lpad(field(4), 2, "0"), F.lit(" "),
                   F.lpad(field(5), 2, "0"), F.lit(":00:00")).try_cast("timestamp_ntz")
     rain = F.when(field(ARCHIVE_RAIN).rlike(r"^\d+\.?\d*$"), field(ARCHIVE_RAIN).try_cast("double")).otherwise(0.0)
@@ -51,10 +59,10 @@ def archive(spark: SparkSession, path: str, station: str | None = None) -> DataF
     for text in values.values():
         rows = rows.filter(text.isNull() | text.try_cast("double").isNotNull())
     if station:
-        rows = rows.filter(F.upper(field(1)).contains(station.upper()))
+        rows = rows.filter(F.upper(name).contains(station.upper()))
     numbers = {n: c.try_cast("double") for n, c in values.items()}
     return rows.select(
-        field(0).alias("station_id"), field(1).alias("station_name"), at.alias("timestamp"), clock.hour_bucket(at).alias("timestamp_bucket"),
+        field(0).alias("station_id"), name.alias("station_name"), at.alias("timestamp"), clock.hour_bucket(at).alias("timestamp_bucket"),
         *[c.alias(n) for n, c in numbers.items()], rain.alias("precipitation_mm"),
         freezing_rain(rain, numbers["temperature_c"]).alias("freezing_rain_flag"))
 
