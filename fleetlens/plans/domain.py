@@ -7,11 +7,14 @@ so work grows with the tables. ``views_sql`` holds the same views as SQL for the
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.operators.latest import latest_per_key
 from fleetlens.plans.mart import Dimensions
+from fleetlens.session import stored
 
 # Days used by the views: service days cover four weeks around the autumn clock change.
 FIRST_DAY = "2026-10-05"
@@ -23,6 +26,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def kept(view):
+    """Keep a derived view as a stored table, as the layers before it would be in production."""
+
+    @functools.wraps(view)
+    def read(spark: SparkSession, sf: str) -> DataFrame:
+        return stored(spark, f"{view.__name__}_{sf}", lambda: view(spark, sf))
+
+    return read
+
+
 def _t(n: Column) -> Column:
     return n.cast("string")
 
@@ -68,6 +81,7 @@ LINE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedp
               "l_returnflag", "l_linestatus"]
 
 
+@kept
 def stop_updates(spark: SparkSession, sf: str) -> DataFrame:
     """Predicted delays: one row per order line, repeats of a (trip, stop) included."""
     rows = _line_values(table(spark, sf, "lineitem")).join(
@@ -94,6 +108,7 @@ def latest_lines(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], [F.col(c) for c in LINE_ORDER])
 
 
+@kept
 def stop_events(spark: SparkSession, sf: str) -> DataFrame:
     """Observed stop events: one row per trip and stop sequence."""
     rows = _line_values(latest_lines(spark, sf)).join(trips(spark, sf), F.col("l_orderkey") == F.col("trip_no"))
@@ -182,6 +197,15 @@ def stop_hubs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def network_links(spark: SparkSession, sf: str) -> DataFrame:
+    """One link per stop pair, as in a link table of record."""
+    return latest_per_key(road_links(spark, sf), ["stop_id_prev", "stop_id_curr"], [F.col("edge_id")])
+
+
+def network_hubs(spark: SparkSession, sf: str) -> DataFrame:
+    return latest_per_key(stop_hubs(spark, sf), ["stop_id"], [F.col("hub_no")])
+
+
 def service_days(spark: SparkSession, sf: str) -> DataFrame:
     return trips(spark, sf).select(F.to_date("service_date").alias("day")).distinct()
 
@@ -206,6 +230,7 @@ def hhmmss(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(s / F.lit(3600)), F.floor(s / F.lit(60)) % 60, s % 60)
 
 
+@kept
 def stop_times(spark: SparkSession, sf: str) -> DataFrame:
     """Timetable stops of every trip, times as text."""
     rows = latest_lines(spark, sf).join(trips(spark, sf), F.col("l_orderkey") == F.col("trip_no"))
@@ -232,6 +257,7 @@ def stops(spark: SparkSession, sf: str) -> DataFrame:
         _stop_lat(no).alias("stop_lat"), _stop_lon(no).alias("stop_lon"))
 
 
+@kept
 def vehicle_fixes(spark: SparkSession, sf: str) -> DataFrame:
     """Seven fixes around every timetable stop: a vehicle that approaches, passes and leaves."""
     rows = _line_values(latest_lines(spark, sf)).join(trips(spark, sf), F.col("l_orderkey") == F.col("trip_no"))
@@ -267,3 +293,9 @@ def raw_pings(spark: SparkSession, sf: str) -> DataFrame:
         (day + F.floor(F.col("epoch") % 86400 / F.lit(43200)) * 43200).alias("gps_timestamp_utc"),
         _t(day + F.floor(F.col("epoch") % 86400 / F.lit(43200)) * 43200).alias("gps_time_str"),
         F.col("epoch").alias("tick_ts"))
+
+
+def legacy_dimensions(spark: SparkSession, sf: str) -> Dimensions:
+    """Dimensions of the legacy mart: its either-key joins expect one row per link and per stop."""
+    d = dimensions(spark, sf)
+    return Dimensions(d.weather, network_links(spark, sf), d.calendar, network_hubs(spark, sf))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import clock
+from fleetlens.functions.rounding import correlation
 from fleetlens.functions.rounding import round_half_up as rnd
 
 MAIN_COHORTS = ["urban_tram", "urban_bus", "suburban_bus"]
@@ -143,8 +144,8 @@ def delay_persistence(mart: DataFrame) -> DataFrame:
     rows = operational(mart).filter(F.abs("prev_stop_delay") <= 1800)
     return rows.groupBy("transit_cohort").agg(
         rows_count("observations"),
-        rnd(F.corr("prev_stop_delay", "arrival_delay_seconds"), 4).alias("lag1_correlation"),
-        rnd(F.corr("prev2_stop_delay", "arrival_delay_seconds"), 4).alias("lag2_correlation"),
+        rnd(correlation("prev_stop_delay", "arrival_delay_seconds"), 4).alias("lag1_correlation"),
+        rnd(correlation("prev2_stop_delay", "arrival_delay_seconds"), 4).alias("lag2_correlation"),
         rnd(F.regr_slope(d, F.col("prev_stop_delay")), 4).alias("persistence_slope_rho"),
         rnd(F.regr_r2(d, F.col("prev_stop_delay")), 4).alias("lag1_r_squared"),
     )
@@ -216,7 +217,7 @@ def forecast_accuracy(mart: DataFrame) -> DataFrame:
         rnd(F.avg(e), 1).alias("mean_error_bias_s"),
         rnd(F.avg(F.abs(e)), 1).alias("mae_seconds"),
         rnd(F.sqrt(F.avg(e * e)), 1).alias("rmse_seconds"),
-        rnd(F.corr("arrival_delay_seconds", "zbk_forecast_delay_s"), 3).alias("pearson_correlation"))
+        rnd(correlation("arrival_delay_seconds", "zbk_forecast_delay_s"), 3).alias("pearson_correlation"))
 
 
 def corridor_infrastructure(links: DataFrame) -> DataFrame:
@@ -330,7 +331,7 @@ def feature_correlation(mart: DataFrame, features: list[str] = CORRELATED) -> Da
     rows = operational(mart).filter((F.abs("prev_stop_delay") <= 1800) & F.col("headway_deviation").isNotNull())
     n = len(features)
     pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
-    flat = rows.agg(*[F.corr(features[i], features[j]).alias(f"c_{i}_{j}") for i, j in pairs])
+    flat = rows.agg(*[correlation(features[i], features[j]).alias(f"c_{i}_{j}") for i, j in pairs])
 
     def entry(i: int, j: int) -> Column:
         return F.lit(1.0) if i == j else F.col(f"c_{min(i, j)}_{max(i, j)}")

@@ -80,6 +80,12 @@ SELECT 'S'||(s_suppkey % 100)::VARCHAR AS stop_id,
  (s_nationkey + 1)::BIGINT AS interchange_line_count,
  CASE WHEN s_nationkey % 4 = 0 THEN 1 ELSE 0 END::BIGINT AS is_metro_proximity FROM supplier""")
 
+_view("network_links", ["road_links"], """
+SELECT * FROM road_links QUALIFY row_number() OVER (PARTITION BY stop_id_prev, stop_id_curr ORDER BY edge_id DESC) = 1""")
+
+_view("network_hubs", ["stop_hubs"], """
+SELECT * FROM stop_hubs QUALIFY row_number() OVER (PARTITION BY stop_id ORDER BY hub_no DESC) = 1""")
+
 _view("service_days", ["trips"], "SELECT DISTINCT service_date::DATE AS day FROM trips")
 
 
