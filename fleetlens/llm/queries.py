@@ -4,19 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import chat, exact_dedup
+from fleetlens.llm import bpe, chat, exact_dedup, pii, secrets, warc
 from fleetlens.llm.common import documents
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(documents(spark, sf_dir))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(documents(spark, sf_dir))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.with_control_case(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op8_chat": op8_chat}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_bpe, op6_secrets, op8_chat, op10_warc)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
@@ -35,4 +51,12 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || said |
   sha256(coalesce(string_agg(said, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(written + CASE WHEN opens THEN 12 + length(role) + 10 + 10 ELSE 11 END)::BIGINT AS formatted_chars
 FROM marked GROUP BY conv_id""",
+    "op10_warc": r"""
+WITH bodies AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+hashed AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM bodies),
+coded AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (1 + ((('0x' || substr(hex, (1 + 5 * (j // 4))::INT, 5))::INT >> (15 - 5 * (j % 4))::INT) & 31))::INT, 1)), '') AS payload_digest FROM hashed)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = min(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+  nullif(min(page_id) OVER w, page_id) AS refers_to
+FROM coded WINDOW w AS (PARTITION BY payload_digest)""",
 }
