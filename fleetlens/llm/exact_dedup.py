@@ -24,11 +24,11 @@ def digest_of(text: str = "text") -> Column:
     return F.unhex(F.sha2(F.translate(text_of(text), " \t\n\x0b\f\r", ""), 256))
 
 
-def _reduced(entries: Column, k: int) -> Column:
-    """Misra-Gries reduction of an array of (n, key): take the (k+1)-th largest count off all, keep what is positive."""
-    ordered = F.sort_array(entries, asc=False)
-    spare = F.coalesce(F.try_element_at(ordered, F.lit(k + 1))["n"], F.lit(0))
-    return F.filter(F.transform(F.slice(ordered, 1, k), lambda e: F.struct((e["n"] - spare).alias("n"), e["key"].alias("key"))), lambda e: e["n"] > 0)
+def _reduced(summaries: DataFrame, k: int) -> DataFrame:
+    """Misra-Gries reduction of each row's array of (n, key): take the (k+1)-th largest count off all, keep what is positive."""
+    ordered = summaries.select(F.sort_array("entries", asc=False).alias("o"))
+    spare = F.coalesce(F.try_element_at("o", F.lit(k + 1))["n"], F.lit(0))
+    return ordered.select(F.explode(F.slice("o", 1, k)).alias("e"), spare.alias("spare")).filter("e.n > spare").select("e.key", (F.col("e.n") - F.col("spare")).alias("n"))
 
 
 def frequent(keys: DataFrame, counters: int = COUNTERS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -40,10 +40,9 @@ def frequent(keys: DataFrame, counters: int = COUNTERS, block_rows: int = BLOCK_
     blocks = (keys.select("key", F.shiftright(F.monotonically_increasing_id(), block_rows.bit_length() - 1).alias("block"))
               .groupBy("block", "key").agg(F.count("*").alias("n"))
               .groupBy("block").agg(F.collect_list(F.struct("n", "key")).alias("entries")))
-    summed = (blocks.select(F.explode(_reduced(F.col("entries"), counters)).alias("e"))
-              .groupBy("e.key").agg(F.sum("e.n").alias("n")))
+    summed = _reduced(blocks, counters).groupBy("key").agg(F.sum("n").alias("n"))
     top = summed.orderBy(F.desc("n"), "key").limit(counters + 1)
-    return top.agg(F.collect_list(F.struct("n", "key")).alias("entries")).select(F.explode(_reduced(F.col("entries"), counters)).alias("e")).select("e.key", "e.n")
+    return _reduced(top.agg(F.collect_list(F.struct("n", "key")).alias("entries")), counters)
 
 
 def _best(rows: DataFrame) -> DataFrame:
