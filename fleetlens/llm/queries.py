@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import bpe, chat, exact_dedup, langid, pii, secrets, warc
+from fleetlens.llm import bpe, chat, exact_dedup, langid, near_dedup, pii, secrets, warc
 from fleetlens.llm.common import documents
 
 
@@ -33,11 +33,15 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.with_control_case(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept", "class_id", "n_links")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_bpe, op6_secrets, op7_language, op8_chat, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_bpe, op6_secrets, op7_language, op8_chat, op9_minhash, op10_warc)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
