@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import bpe, chat, exact_dedup, langid, near_dedup, pii, secrets, warc
+from fleetlens.llm import bpe, chat, decontaminate, exact_dedup, langid, lm, near_dedup, pii, secrets, warc
 from fleetlens.llm.common import documents
 
 
@@ -20,6 +20,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(documents(spark, sf_dir))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(documents(spark, sf_dir))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
@@ -41,7 +49,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_bpe, op6_secrets, op7_language, op8_chat, op9_minhash, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_bpe, op4_lm_score, op5_decontaminate, op6_secrets, op7_language, op8_chat, op9_minhash, op10_warc)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
