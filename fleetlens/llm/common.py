@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterable
 
@@ -14,6 +15,15 @@ from fleetlens.session import shared_folder
 BROADCAST_ROWS = 500_000
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Python workers find this package where the driver did, unless the cluster ships it otherwise."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, paths) if x)
+    return spark
+
+
 def text_of(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))

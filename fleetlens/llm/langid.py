@@ -103,7 +103,7 @@ def _observed(rows: DataFrame, model: TextModel, text: Column, host: Column, suf
         return pd.DataFrame([model.evidence(t) for t in texts], columns=["ll", "n"])
 
     code = F.coalesce(declared, F.lit(""))
-    values = (F.coalesce(host, F.lit("")), F.coalesce(suffix, F.lit("")), F.when(code == "", "none").otherwise(code), scored(text))
+    values = (F.coalesce(host, F.lit("")), F.coalesce(suffix, F.lit("")), F.when(code == "", "none").otherwise(code), scored(F.coalesce(text, F.lit(""))))
     return rows.withColumns(dict(zip(names, values, strict=True))), names
 
 

@@ -9,7 +9,7 @@ Collisions are counted with prefix and skip merging:
 - lists of at most ``SHORT`` sets give their pairs, of which those with SHARED collisions stay;
 - longer lists first meet their leader only, the set with the largest sum of token frequencies. Links to leaders join most sets of a list; a list whose sets are
   all connected is skipped. In the others every set outside the leader's component meets all sets of the list, block by block: a task
-  holds one block of such sets and one of the list, intersects them through postings of shingles, and gives at most one link from a set to each component.
+  holds one block of such sets and one of the list, intersects them through postings of shingles, and gives only links that connect what was apart.
 
 No list is gathered whole and no group gives all its pairs, yet each pair that shares a posted token of a long list is either connected already or compared.
 All links are confirmed on full sets: 100 * intersection >= ``percent`` * union. Components of the links are the result.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import components, rows_of, small_or_shuffled, stored, text_of
 from fleetlens.llm.shingles import mix, shingle_set
 
-COORDINATES, MATCHES, SHARED, SHORT = 32, 16, 4, 16
+COORDINATES, MATCHES, SHARED, SHORT = 32, 16, 4, 32
 #: Sets and shingles of a block of a long list.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_000_000
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -68,7 +68,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFram
             yield pd.DataFrame({"id": pdf.doc_id, "shingles": [shingle_set(t, words).view(np.int64) for t in pdf.text]})
 
     rows = docs.select(F.col("doc_id").cast("long"), text_of(text).alias("text")).join(small_or_shuffled(wanted.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
-    return rows.mapInPandas(collect, "id long, shingles array<long>").dropDuplicates(["id"])
+    return rows.mapInPandas(collect, "id long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -79,13 +79,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _posted(reps: DataFrame) -> DataFrame:
-    """(token, id, n, size, weight): each set's prefix of tokens that others have too, with the token's frequency n and the set's popularity."""
+    """(token, id, n, size, weight): each set's prefix of tokens that others have too, with the list's length n and the set's popularity.
+
+    A set with fewer than SHARED posted tokens has no candidate; without it others may lose tokens too, so this is done three times.
+    """
     tokens = reps.select("id", "size", F.explode("sig").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    ordered = (tokens.join(common, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"), F.sum("n").alias("weight"), F.first("size").alias("size"))
+    ordered = (tokens.join(common, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"), F.first("size").alias("size"))
                # tokens that no other set has come first in the order and fill the prefix without posting anything
                .withColumn("room", F.size("t") - (MATCHES - SHARED)))
-    return ordered.filter("room > 0").select("id", "size", "weight", F.explode(F.slice("t", F.lit(1), F.col("room"))).alias("t")).select("t.token", "id", "t.n", "size", "weight")
+    posted = ordered.filter(F.col("room") >= SHARED).select("id", "size", F.explode(F.slice("t", F.lit(1), F.col("room"))).alias("t")).select("t.token", "id", "size")
+    for _ in range(3):
+        posted = stored(posted, "prefixes")
+        lists = posted.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+        kept = posted.join(lists, "token")
+        enough = kept.groupBy("id").agg(F.count("*").alias("k"), F.sum("n").alias("weight")).filter(F.col("k") >= SHARED).drop("k")
+        posted = kept.join(enough, "id").select("token", "id", "size", "n", "weight")
+        last, posted = posted, posted.select("token", "id", "size")
+    return last
 
 
 def _short_pairs(posted: DataFrame) -> DataFrame:
@@ -101,18 +112,21 @@ def _compare(percent: int):
         links = []
         if len(ask) and len(own):
             sizes = own.shingles.map(len).to_numpy()
-            ids, group = own.id.to_numpy(), own.component.to_numpy()
+            ids = own.id.to_numpy()
+            _, codes = np.unique(np.concatenate([own.component, ask.component]), return_inverse=True)
+            group, label = codes[:len(own)], np.arange(codes.max() + 1)  # label: what the links found so far make of the components
             flat, owner = np.concatenate(own.shingles.to_list()), np.repeat(np.arange(len(own)), sizes)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
-            for me, mine, shingles in zip(ask.id, ask.component, ask.shingles, strict=True):
+            for me, mine, shingles in zip(ask.id, codes[len(own):], ask.shingles, strict=True):
                 lo, hi = (np.searchsorted(flat, shingles, side=side) for side in ("left", "right"))
                 runs = hi - lo
                 at = np.repeat(lo - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
                 common = np.bincount(owner[at], minlength=len(own))
-                hit = np.flatnonzero((100 * common >= percent * (len(shingles) + sizes - common)) & (group != mine))
-                _, one = np.unique(group[hit], return_index=True)
+                hit = np.flatnonzero((100 * common >= percent * (len(shingles) + sizes - common)) & (label[group] != label[mine]))
+                met, one = np.unique(label[group[hit]], return_index=True)
                 links += [(me, i) for i in ids[hit[one]]]
+                label[np.isin(label, met)] = label[mine]
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     return compare

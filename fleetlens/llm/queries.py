@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetlens.llm import bpe, chat, decontaminate, exact_dedup, langid, lm, near_dedup, pii, secrets, warc
-from fleetlens.llm.common import documents
+from fleetlens.llm.common import documents, importable
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_bpe, op4_lm_score, op5_decontaminate, op6_secrets, op7_language, op8_chat, op9_minhash, op10_warc)}
+def _ready(query):
+    return lambda spark, sf_dir: query(importable(spark), sf_dir)
+
+
+QUERIES = {f.__name__: _ready(f) for f in (op1_pii, op2_exact_dedup, op3_bpe, op4_lm_score, op5_decontaminate, op6_secrets, op7_language, op8_chat, op9_minhash, op10_warc)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
