@@ -372,6 +372,21 @@ def snapshot_for_day(snapshots: DataFrame, services: DataFrame, day: str) -> Dat
     return scored.agg(F.max_by(F.struct("snapshot_id", "n_services", "feed_start"), order).alias("s")).select("s.*")
 
 
+def snapshots_by_day(snapshots: DataFrame, services: DataFrame, days: DataFrame) -> DataFrame:
+    """(service_date, snapshot_id, n_services) by the rule of ``snapshot_for_day``, for all days (service_date, yyyy-mm-dd) at once.
+
+    Days meet only snapshots that have services on them; the newest snapshot serves the others.
+    """
+    newest = snapshots.agg(F.max_by("snapshot_id", F.struct("feed_start", "fetched_at", "snapshot_id"))).first()[0]
+    wanted = days.select("service_date").distinct().withColumn("date", F.replace("service_date", F.lit("-"), F.lit("")))
+    counts = services.join(wanted, "date").groupBy("service_date", "snapshot_id").agg(F.count(F.lit(1)).alias("n_services"))
+    n = F.col("n_services")
+    order = F.struct((n >= 10).alias("many"), F.when(n < 10, n).otherwise(0).alias("few"), "feed_start", "fetched_at", "snapshot_id")
+    best = counts.join(snapshots, "snapshot_id").groupBy("service_date").agg(F.max_by(F.struct("snapshot_id", "n_services"), order).alias("s"))
+    return wanted.select("service_date").join(best, "service_date", "left").select(
+        "service_date", F.coalesce("s.snapshot_id", F.lit(newest)).alias("snapshot_id"), F.coalesce("s.n_services", F.lit(0)).alias("n_services"))
+
+
 def new_snapshots(registry: DataFrame, arrived: DataFrame) -> DataFrame:
     """Arrived snapshots whose digest the registry does not hold, the earliest of each digest."""
     first = arrived.groupBy("sha256").agg(F.min_by(F.struct(*[c for c in arrived.columns if c != "sha256"]), "fetched_at_utc").alias("r"))

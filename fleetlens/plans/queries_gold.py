@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetlens.functions import clock
 from fleetlens.operators import latest
 from fleetlens.plans import domain, gold
 from fleetlens.plans.registry import comparable, comparable_sql, query
@@ -11,17 +12,17 @@ from fleetlens.plans.views_sql import with_views
 
 MAX_SEQ = 7
 
-FORECASTS = ("forecasts", """SELECT trip_id, stop_sequence, max_by(kind, seen) AS forecast_kind, max_by(val, seen) AS forecast_val FROM (
-  SELECT trip_id, stop_sequence, feed_timestamp*100000 + arrival_delay_seconds + 10000 AS seen, CASE WHEN vehicle_id LIKE '%7' THEN 'time' ELSE 'delay' END AS kind,
-   CASE WHEN vehicle_id LIKE '%7' THEN rt_arrival_time ELSE arrival_delay_seconds END AS val FROM stop_updates) GROUP BY 1, 2""")
+FORECASTS = ("forecasts", """SELECT service_date, trip_id, stop_sequence, max_by(kind, seen) AS forecast_kind, max_by(val, seen) AS forecast_val FROM (
+  SELECT COALESCE(start_date, timezone('Europe/Warsaw', to_timestamp(rt_arrival_time))::DATE::VARCHAR) AS service_date, trip_id, stop_sequence, feed_timestamp*100000 + arrival_delay_seconds + 10000 AS seen, CASE WHEN vehicle_id LIKE '%7' THEN 'time' ELSE 'delay' END AS kind,
+   CASE WHEN vehicle_id LIKE '%7' THEN rt_arrival_time ELSE arrival_delay_seconds END AS val FROM stop_updates) GROUP BY 1, 2, 3""")
 
 
 def forecasts(spark, sf):
-    """Latest forecast per trip and stop from the delay updates."""
-    u = domain.stop_updates(spark, sf)
+    """Latest forecast per day, trip and stop from the delay updates; the arrival tells the day of updates without one."""
+    u = domain.stop_updates(spark, sf).withColumn("service_date", F.coalesce("start_date", F.substring(clock.epoch_to_local("rt_arrival_time").cast("string"), 1, 10)))
     as_time = F.col("vehicle_id").endswith("7")
     seen = F.col("feed_timestamp") * 100000 + F.col("arrival_delay_seconds") + 10000
-    return u.groupBy("trip_id", "stop_sequence").agg(
+    return u.groupBy("service_date", "trip_id", "stop_sequence").agg(
         F.max_by(F.when(as_time, "time").otherwise("delay"), seen).alias("forecast_kind"),
         F.max_by(F.when(as_time, F.col("rt_arrival_time")).otherwise(F.col("arrival_delay_seconds").cast("long")), seen).alias("forecast_val"))
 
@@ -45,7 +46,6 @@ FIX_STEPS = [
 
 @query("a6_dominant_vehicle", with_views(["vehicle_fixes"], "SELECT * FROM dominant", FIX_STEPS))
 def dominant(spark, sf):
-    from fleetlens.functions import clock
     from fleetlens.plans.silver import fresh_fixes
 
     fixes = domain.vehicle_fixes(spark, sf).withColumn("gps_timestamp_utc", clock.repair_clock_fold("gps_timestamp_utc", "tick_ts"))
@@ -53,7 +53,7 @@ def dominant(spark, sf):
     return best.select("service_date", "trip_id", "vehicle_number", F.col("seen").alias("first_fix"))
 
 
-@query("a22_latest_forecast", with_views(["stop_updates"], "SELECT trip_id, stop_sequence, forecast_kind, forecast_val FROM forecasts", [FORECASTS]))
+@query("a22_latest_forecast", with_views(["stop_updates"], "SELECT service_date, trip_id, stop_sequence, forecast_kind, forecast_val FROM forecasts", [FORECASTS]))
 def latest_forecast(spark, sf):
     return forecasts(spark, sf)
 
@@ -118,7 +118,7 @@ EVENT_STEPS = [*TRACK_STEPS, *_fold_steps(),
     ("events", """SELECT *, arrival_delay_seconds - zbk_forecast_delay_s AS forecast_error_s FROM (
        SELECT d.*, actual_arrival_utc - scheduled_arrival_utc AS arrival_delay_seconds, actual_departure_utc - scheduled_departure_utc AS departure_delay_seconds,
         CASE WHEN forecast_kind = 'delay' THEN forecast_val WHEN forecast_kind = 'time' THEN forecast_val - scheduled_arrival_utc END AS zbk_forecast_delay_s
-       FROM delays d LEFT JOIN forecasts f ON f.trip_id = d.trip_id AND f.stop_sequence = d.stop_sequence)"""),
+       FROM delays d LEFT JOIN forecasts f ON f.service_date = d.service_date AND f.trip_id = d.trip_id AND f.stop_sequence = d.stop_sequence)"""),
     ("gold", """SELECT * FROM events SEMI JOIN (SELECT service_date, trip_id FROM events GROUP BY 1, 2 HAVING
        (bool_or(stop_sequence = first_seq) AND bool_or(stop_sequence = last_seq)) OR (max(n_planned) >= 6 AND count(DISTINCT stop_sequence) >= greatest(5, floor(0.6*max(n_planned))))) USING (service_date, trip_id)"""),
 ]

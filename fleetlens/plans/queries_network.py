@@ -273,6 +273,19 @@ def snapshot(spark, sf):
     return nw.snapshot_for_day(snaps, services, "2026-10-07")
 
 
+@query("c16_snapshots_by_day", """WITH o AS (SELECT 'SN'||(o_custkey % 6)::VARCHAR AS snapshot_id, o_orderdate::DATE AS d FROM orders),
+ snaps AS (SELECT snapshot_id, min(d) AS feed_start FROM o GROUP BY 1),
+ per AS (SELECT d, snapshot_id, count(*) AS n FROM o WHERE month(d) <> 6 GROUP BY 1, 2),
+ best AS (SELECT d, arg_max({s: snapshot_id, n: n}, (n >= 10, CASE WHEN n < 10 THEN n ELSE 0 END, feed_start, snapshot_id)) AS b FROM per JOIN snaps USING (snapshot_id) GROUP BY 1)
+ SELECT strftime(o.d, '%Y-%m-%d') AS service_date, COALESCE(b.s, (SELECT arg_max(snapshot_id, (feed_start, snapshot_id)) FROM snaps)) AS snapshot_id, COALESCE(b.n, 0)::BIGINT AS n_services
+ FROM (SELECT DISTINCT d FROM o) o LEFT JOIN best USING (d)""")
+def snapshots_by_day(spark, sf):
+    o = domain.table(spark, sf, "orders").select(F.concat(F.lit("SN"), (F.col("o_custkey") % 6).cast("string")).alias("snapshot_id"), F.to_date("o_orderdate").alias("d"))
+    snaps = o.groupBy("snapshot_id").agg(F.date_format(F.min("d"), "yyyyMMdd").alias("feed_start"), F.lit(0).alias("fetched_at"))
+    services = o.filter(F.month("d") != 6).select("snapshot_id", F.date_format("d", "yyyyMMdd").alias("date"))
+    return nw.snapshots_by_day(snaps, services, o.select(F.date_format("d", "yyyy-MM-dd").alias("service_date")))
+
+
 @query("c17_new_snapshots", """SELECT md5(source||lang) AS sha256, min(doc_id) AS fetched_at_utc FROM documents WHERE md5(source||lang) NOT IN (SELECT md5(source||lang) FROM documents WHERE doc_id < 20) GROUP BY 1""")
 def new_snapshots(spark, sf):
     d = domain.table(spark, sf, "documents").select(F.md5(F.concat("source", "lang")).alias("sha256"), F.col("doc_id").alias("fetched_at_utc"))

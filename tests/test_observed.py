@@ -140,6 +140,22 @@ def test_one_stop_visit(spark):
     assert 125 <= r.actual_departure_utc < 135 and r.dwell_seconds > 15
 
 
+def test_one_trip_on_two_days_with_two_timetables(spark):
+    """Trip ids recur: each day has its own timetable and its own forecast."""
+    lon = lambda x: x / geo.M_PER_DEG_LON + geo.LON_0
+    days = ["2026-10-18", "2026-10-19"]
+    rows = [fix(geo.LAT_0, lon(k * 500.0), 100 + k * 100, 100 + k * 100) for k in range(2)]
+    silver = as_silver(spark, rows).withColumn("service_date", F.explode(F.array(*map(F.lit, days))))
+    times, place = stop_tables(spark, [(0, 0.0, 0.0), (1, 500.0, 0.0)])
+    both = times.withColumn("snapshot_id", F.lit("A")).unionByName(times.withColumn("snapshot_id", F.lit("B")).withColumn("stop_sequence", F.col("stop_sequence") + 10))
+    forecast = spark.createDataFrame([(days[0], "T", 1, "delay", 11), (days[1], "T", 11, "delay", 22), (days[1], "T", 1, "delay", 33)],
+                                     "service_date string, trip_id string, stop_sequence int, forecast_kind string, forecast_val long")
+    which = spark.createDataFrame(list(zip(days, "AB")), "service_date string, snapshot_id string")
+    got = gold.stop_events(silver, both, place, forecast, complete_only=False, snapshots=which).collect()
+    assert sorted((r.service_date, r.stop_sequence, r.zbk_forecast_delay_s) for r in got) == [
+        (days[0], 0, None), (days[0], 1, 11), (days[1], 10, None), (days[1], 11, 22)]
+
+
 def test_incomplete_trip_is_dropped(spark):
     stops = [(k, k * 500.0, 0.0) for k in range(3)]
     times, place = stop_tables(spark, stops)
