@@ -15,18 +15,13 @@ STRATUM = ["service_day", "regime_weather", "regime_infra", "regime_time"]
 STOPS_PER_TRIP, N_CELLS = 25, 12
 
 
-def downcast(df: DataFrame) -> DataFrame:
-    """Halve numeric widths: doubles to floats, longs to ints where every value fits.
+def downcast(df: DataFrame, to_int: list[str] | None = None) -> DataFrame:
+    """Halve numeric widths: doubles to floats, and the named longs to ints; a value that does not fit raises.
 
-    Text needs no category type: Parquet dictionary-encodes it.
+    Output types follow from the arguments alone. Text needs no category type: Parquet dictionary-encodes it.
     """
-    longs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.LongType)]
-    fits: dict[str, bool] = {}
-    if longs:
-        bounds = df.agg(*[F.max(F.abs(F.col(c))).alias(c) for c in longs]).first()
-        fits = {c: bounds[c] is None or bounds[c] < 2**31 for c in longs}
     narrow = {f.name: F.col(f.name).cast("float") for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}
-    narrow.update({c: F.col(c).cast("int") for c in longs if fits[c]})
+    narrow.update({c: F.when(F.abs(F.col(c)) < 2**31, F.col(c)).otherwise(F.when(F.col(c).isNotNull(), F.raise_error(F.lit(f"{c} does not fit an int")).cast("long"))).cast("int") for c in to_int or []})
     return df.withColumns(narrow) if narrow else df
 
 
@@ -105,13 +100,9 @@ def stratified_sample(mart: DataFrame, sample_size: int, seed: int = 42, quota:
     return rows.withColumn(WEIGHT, scaled)
 
 
-def load_sample(mart: DataFrame, sample_size: int = 100000, strategy: str = "stratified", seed: int = 42,
-                where: Column | None = None) -> DataFrame:
-    """Full load, uniform or stratified sample; an empty stratified result falls back to uniform."""
+def load_sample(mart: DataFrame, sample_size: int, strategy: str = "stratified", seed: int = 42, where: Column | None = None) -> DataFrame:
+    """Full load (size 0 or strategy "none"), or a uniform or stratified sample of the given size; an empty result stays empty."""
     rows = mart.filter(where) if where is not None else mart
     if sample_size <= 0 or strategy == "none":
         return rows.withColumn(WEIGHT, F.lit(1.0))
-    if strategy == "stratified":
-        sample = stratified_sample(rows, sample_size, seed)
-        return sample if not sample.isEmpty() else uniform_sample(rows, sample_size, seed)
-    return uniform_sample(rows, sample_size, seed)
+    return stratified_sample(rows, sample_size, seed) if strategy == "stratified" else uniform_sample(rows, sample_size, seed)

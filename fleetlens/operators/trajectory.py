@@ -125,12 +125,10 @@ def with_group_median(df: DataFrame, keys: Sequence[str], value: str, name: str)
     return df.join(medians, cond, "left").drop(*[f"__m_{k}" for k in keys])
 
 
-def reconstruct(updates: DataFrame, max_delay_seconds: int = 7200, max_records: int | None = None) -> DataFrame:
+def reconstruct(updates: DataFrame, max_delay_seconds: int = 7200) -> DataFrame:
     """Full decomposition of delay updates: last ping, lags, progress, deltas, headway."""
     clean = with_trip_instance(updates).filter(F.abs("arrival_delay_seconds") <= max_delay_seconds)
     latest = last_ping_per_stop(clean)
-    if max_records:
-        latest = latest.orderBy(TRIP, "stop_sequence").limit(max_records)
     lagged = with_update_lags(latest)
     parts = lagged.withColumns({**update_delta_columns(), **progress_columns()})
     timed = with_headway(

@@ -47,7 +47,7 @@ def inner_stops(exclude_terminals: bool) -> Column:
 
 
 def observed_links(
-    events: DataFrame, max_delay_seconds: int = 7200, max_records: int | None = None,
+    events: DataFrame, max_delay_seconds: int = 7200,
     start_date: str | None = None, end_date: str | None = None,
 ) -> DataFrame:
     """Stop events with previous-stop values, running delay, time and route features.
@@ -63,8 +63,6 @@ def observed_links(
         rows = rows.filter(F.col("service_date") >= start_date[:10])
     if end_date:
         rows = rows.filter(F.col("service_date") <= end_date[:10])
-    if max_records:
-        rows = rows.orderBy("service_date", "trip_id", "stop_sequence").limit(max_records)
     rows = rows.withColumns(
         {tr.TRIP: F.concat("trip_id", F.lit("_"), "service_date"), "vehicle_id": F.col("vehicle_number")}
     )
@@ -167,13 +165,13 @@ OBSERVED_ONLY = ["stop_name", "dwell_seconds", "zbk_forecast_delay_s", "forecast
 
 def observed_mart(
     events: DataFrame, dims: Dimensions = Dimensions(), max_delay_seconds: int = 7200,
-    max_records: int | None = None, exclude_terminals: bool = True, start_date: str | None = None,
+    exclude_terminals: bool = True, start_date: str | None = None,
     end_date: str | None = None, ordered: bool = False, links_tie: str = "edge_id", hubs_tie: str = "stop_id",
 ) -> DataFrame:
     """Feature mart on observed stop events. ``ordered`` adds the total order for display;
     for storage prefer ``sinks.write_dataset`` which sorts inside files."""
     dims = dims.filled(events)
-    links = observed_links(events, max_delay_seconds, max_records, start_date, end_date)
+    links = observed_links(events, max_delay_seconds, start_date, end_date)
     timed = with_upstream_headways(links).filter(adjacent_stops(exclude_terminals))
     rows = _context(with_headway_deviation(timed), dims)
     roads = dim.links_by_either_key(dims.links, links_tie).select("join_prev", "join_curr", *LINK_COLUMNS)
@@ -215,7 +213,7 @@ def hubs_by_any_key(rows: DataFrame, hubs: DataFrame) -> DataFrame:
 
 def legacy_mart(
     updates: DataFrame, dims: Dimensions = Dimensions(), max_delay_seconds: int = 7200,
-    max_records: int | None = None, exclude_terminals: bool = True, start_date: str | None = None,
+    exclude_terminals: bool = True, start_date: str | None = None,
     end_date: str | None = None, ordered: bool = False,
 ) -> DataFrame:
     """Feature mart on predicted delay updates."""
@@ -224,8 +222,6 @@ def legacy_mart(
     if start_date or end_date:
         clean = clean.filter(transit.local_range(F.col("feed_timestamp"), start_date, end_date))
     latest = tr.last_ping_per_stop(clean)
-    if max_records:
-        latest = latest.orderBy(tr.TRIP, "stop_sequence").limit(max_records)
     lagged = tr.with_update_lags(latest).filter(F.col("prev_stop_id").isNotNull())
     rows = lagged.withColumns(
         {

@@ -114,8 +114,8 @@ def latest_forecasts(spark, sf):
     u = domain.stop_updates(spark, sf).select("trip_id", "stop_sequence", F.col("feed_timestamp").alias("tick_ts"), F.col("arrival_delay_seconds").alias("forecast_val"))
     batch = u.withColumn("hour_utc", F.floor(F.col("tick_ts") / F.lit(3600)))
     early, late = batch.filter("tick_ts % 2 = 0"), batch.filter("tick_ts % 2 = 1")
-    _, state = feeds.latest_forecasts(early, None)
-    now, _ = feeds.latest_forecasts(late, state)
+    _, state = feeds.latest_forecasts(early, None, ttl_s=10**10)
+    _, now = feeds.latest_forecasts(late, state, ttl_s=10**10)
     return comparable(now.select("trip_id", "stop_sequence", "tick_ts"))
 
 

@@ -66,7 +66,7 @@ mart_report("q11_rain_tiers", f"""SELECT CASE rain_intensity_category WHEN 0 THE
  round(avg(precipitation_mm),2) AS avg_precip_mm, {MINUTES}, round(avg(delta_t_run),2) AS mean_delta_run_s FROM mart WHERE {OPERATIONAL} GROUP BY 1""",
             reports.rain_tiers)
 mart_report("q11_temperature_curve", f"""SELECT round(temperature_c) AS temp_c, count(*) AS "count", {MINUTES} FROM mart WHERE {OPERATIONAL}
- GROUP BY 1 HAVING count(*) > 100""", lambda m: reports.temperature_curve(m, 100))
+ GROUP BY 1""", reports.temperature_curve)
 mart_report("q12_corridor_league", f"""SELECT corridor_name, count(*) AS observations, {MINUTES}, round(avg(delta_t_run),2) AS mean_delta_run_s,
  round(avg(signalized_intersection_count),1) AS avg_signals_per_link, round(avg(segment_length_meters),1) AS avg_stop_spacing_m, {ROW_SHARE}
  FROM mart WHERE corridor_name IS NOT NULL AND {OPERATIONAL} GROUP BY 1""", reports.corridor_league)

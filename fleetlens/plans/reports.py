@@ -175,10 +175,10 @@ def rain_tiers(mart: DataFrame) -> DataFrame:
         rnd(F.avg("delta_t_run"), 2).alias("mean_delta_run_s"))
 
 
-def temperature_curve(mart: DataFrame, min_rows: int = 50000) -> DataFrame:
-    per = operational(mart).groupBy(rnd(F.col("temperature_c")).alias("temp_c")).agg(
+def temperature_curve(mart: DataFrame) -> DataFrame:
+    """Every whole degree that occurs, with its row count."""
+    return operational(mart).groupBy(rnd(F.col("temperature_c")).alias("temp_c")).agg(
         rows_count("count"), *_delay_minutes())
-    return per.filter(F.col("count") > min_rows)
 
 
 def corridor_league(mart: DataFrame) -> DataFrame:

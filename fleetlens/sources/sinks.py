@@ -9,19 +9,32 @@ from pyspark.sql import functions as F
 from fleetlens.operators.latest import latest_per_key
 from fleetlens.session import checkpointed
 
-TARGET_FILE_BYTES = 256 * 1024 * 1024
-
 
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table, or None if nothing lies at the path; a damaged or unreadable table raises."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table through its file system, whichever it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def gathered(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out so that each key's rows fill few files of the session's advisory size: large keys are split, small tasks joined."""
+    return df.hint("rebalance", *keys)
+
+
 def write_dates(df: DataFrame, path: str, sort_by: list[str] | None = None) -> None:
     """Replace exactly the dates present in ``df``; other dates stay. Needs a ``date`` column."""
-    rows = df.sortWithinPartitions("date", *sort_by) if sort_by else df
+    rows = gathered(df, "date")
+    rows = rows.sortWithinPartitions("date", *sort_by) if sort_by else rows
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("date").parquet(path)
 
 
@@ -91,18 +104,18 @@ def fingerprint(df: DataFrame) -> tuple[int, int]:
 def compact(spark: SparkSession, source: str, target: str, closed: Column) -> int:
     """Rewrite closed partitions of small files into few large ones; publish only what verifies.
 
-    The number of files follows from the bytes read, so a large hour still uses many tasks.
+    Rows are gathered by partition, so an hour has one file unless it is larger than the session's advisory partition size.
     """
     rows = spark.read.parquet(source).filter(closed)
-    files = rows.select("_metadata.file_path", "_metadata.file_size").distinct()
-    total = files.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0]
-    n = max(1, -(-int(total) // TARGET_FILE_BYTES))
+    parts = [c for c in ("source", "date", "hour") if c in rows.columns]
     staging = f"{target}.staging"
-    rows.coalesce(n).write.mode("overwrite").option("compression", "zstd").parquet(staging)
-    staged = spark.read.parquet(staging)
+    publish = lambda df, path: gathered(df, *parts).write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    remove(spark, staging)
+    publish(rows, staging)
+    staged = spark.read.schema(rows.schema).parquet(staging)
     before, after = fingerprint(rows), fingerprint(staged.select(*rows.columns))
     if before != after:
         raise ValueError(f"compaction check failed: {before} != {after}")
-    parts = [c for c in ("source", "date", "hour") if c in rows.columns]
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(target)
+    publish(staged, target)
+    remove(spark, staging)
     return before[0]

@@ -17,7 +17,7 @@ from fleetlens.functions import clock
 from fleetlens.operators import kinematics
 from fleetlens.operators.chunked import with_neighbours
 from fleetlens.operators.latest import latest_per_key
-from fleetlens.sources.sinks import read_if_exists
+from fleetlens.sources.sinks import remove
 
 FLUSH_SECONDS = 300
 STATE_TTL_S = 2 * 86400
@@ -48,39 +48,50 @@ def changes(batch: DataFrame, state: DataFrame | None, value: str = "rt_arrival_
     newest = batch.groupBy(*STOP_KEY).agg(F.max_by(F.struct(F.col(value).alias("last_value"), F.col(time).alias("last_time")), tie).alias("n")).select(*STOP_KEY, "n.*")
     if state is not None:
         newest = newest.unionByName(state.join(newest.select(*STOP_KEY), STOP_KEY, "left_anti").select(*newest.columns))
-    limit = newest.agg(F.max("last_time")).scalar()
-    return out, newest.filter(F.col("last_time") >= limit - ttl_s)
+    return out, _fresh(newest, "last_time", ttl_s)
 
 
-def latest_forecasts(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Latest forecast per trip and stop as ticks arrive."""
-    both = batch if state is None else state.unionByName(batch)
-    now = latest_per_key(both, STOP_KEY, [F.col(c) for c in FORECAST_ORDER])
-    return now, now
+def latest_forecasts(batch: DataFrame, state: DataFrame | None, ttl_s: int = STATE_TTL_S) -> tuple[DataFrame, DataFrame]:
+    """Latest forecast per trip and stop as ticks arrive: the keys that the batch changed, and the state without keys older than ``ttl_s``."""
+    newest = latest_per_key(batch, STOP_KEY, [F.col(c) for c in FORECAST_ORDER])
+    if state is None:
+        return newest, _fresh(newest, "tick_ts", ttl_s)
+    now = latest_per_key(state.unionByName(newest), STOP_KEY, [F.col(c) for c in FORECAST_ORDER])
+    changed = now.join(newest.select(*STOP_KEY), STOP_KEY, "left_semi").exceptAll(state)
+    return changed.select(*batch.columns), _fresh(now.select(*batch.columns), "tick_ts", ttl_s)
 
 
-def moving_fixes(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Clean fixes with movement; the last fix of each vehicle joins the batch as its past."""
+def _fresh(state: DataFrame, time: str, ttl_s: int) -> DataFrame:
+    """The entries at most ``ttl_s`` older than the newest."""
+    limit = state.agg(F.max(time)).first()[0]
+    return state if limit is None else state.filter(F.col(time) >= limit - ttl_s)
+
+
+def moving_fixes(batch: DataFrame, state: DataFrame | None, ttl_s: int = STATE_TTL_S) -> tuple[DataFrame, DataFrame]:
+    """Clean fixes with movement; the last fix of each vehicle joins the batch as its past, for ``ttl_s`` at most."""
     fresh = batch.withColumn("__past", F.lit(False))
     both = fresh if state is None else fresh.unionByName(state.withColumn("__past", F.lit(True)))
     moved = kinematics.with_movement(kinematics.clean_fixes(both))
     last = latest_per_key(both.drop("__past"), kinematics.VEHICLE_DAY, [F.col(c) for c in kinematics.ORDER])
-    return moved.filter(~F.col("__past")).drop("__past"), last.select(*batch.columns)
+    return moved.filter(~F.col("__past")).drop("__past"), _fresh(last.select(*batch.columns), "gps_timestamp_utc", ttl_s)
 
 
 def run_step(stream: DataFrame, step: Step, output: str, state: str, checkpoint: str,
              flush_seconds: int | None = FLUSH_SECONDS) -> DataStreamWriter:
     """Writer that applies ``step`` per micro-batch; start it with ``.start()``.
 
-    State versions are folders named by batch id: batch n reads n-1 and writes n.
+    State versions are folders named by batch id: batch n reads n-1, writes n and removes n-2. A batch whose state is gone fails
+    instead of starting anew.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
-        before = read_if_exists(spark, f"{state}/v={batch_id - 1}") if batch_id else None
+        before = spark.read.parquet(f"{state}/v={batch_id - 1}") if batch_id else None
         out, after = step(batch, before)
         out.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
         after.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+        if batch_id > 1:
+            remove(spark, f"{state}/v={batch_id - 2}")
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True) if flush_seconds is None else writer.trigger(processingTime=f"{flush_seconds} seconds")

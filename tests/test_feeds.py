@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.sources import sinks, tables, ticks, weather
@@ -45,6 +46,43 @@ def test_compaction_keeps_rows(spark, tmp_path):
     df.write.partitionBy("hour").parquet(src)
     assert sinks.compact(spark, src, dst, F.col("hour") < 2) == 67
     assert spark.read.parquet(dst).count() == 67
+    for hour in (0, 1):
+        assert len(list((tmp_path / "big" / f"hour={hour}").glob("*.parquet"))) == 1
+    assert not (tmp_path / "big.staging").exists()
+
+
+def test_damaged_table_is_not_taken_for_a_missing_one(spark, tmp_path):
+    assert sinks.read_if_exists(spark, str(tmp_path / "nothing")) is None
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_text("no parquet")
+    rows = spark.createDataFrame([("s", 1, 5.0)], "station string, hour int, temp double")
+    with pytest.raises(Exception):  # noqa: B017  whichever error the reader gives
+        sinks.upsert(spark, str(tmp_path / "bad"), rows, ["station", "hour"], [F.col("temp")])
+    assert (tmp_path / "bad" / "part-0.parquet").read_text() == "no parquet"
+
+
+def test_lost_state_stops_the_stream(spark, tmp_path):
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+
+    def step(i):
+        spark.createDataFrame([("T", 1, i, i)], UPDATE).coalesce(1).write.mode("append").parquet(src)
+        feeds.run_step(spark.readStream.schema(UPDATE).parquet(src), feeds.changes, out, state, str(tmp_path / "cp"), None).start().awaitTermination()
+
+    for i in range(3):
+        step(i)
+    assert sorted(x.name for x in (tmp_path / "state").iterdir()) == ["v=1", "v=2"]
+    sinks.remove(spark, f"{state}/v=2")
+    with pytest.raises(Exception, match="v=2"):
+        step(3)
+
+
+def test_latest_forecasts_give_changes_and_expire(spark):
+    schema = "trip_id string, stop_sequence int, hour_utc string, tick_ts long, value int"
+    _, state = feeds.latest_forecasts(spark.createDataFrame([("A", 1, "08", 10, 1), ("B", 1, "08", 10, 1)], schema), None)
+    out, state = feeds.latest_forecasts(spark.createDataFrame([("B", 1, "09", 2000, 2)], schema), state, ttl_s=1000)
+    assert [r.trip_id for r in out.collect()] == ["B"] and [(r.trip_id, r.value) for r in state.collect()] == [("B", 2)]
+    out, state = feeds.latest_forecasts(spark.createDataFrame([], schema), state, ttl_s=1000)
+    assert out.count() == 0 and state.count() == 1
 
 
 def test_date_overwrite_append_and_upsert(spark, tmp_path):
