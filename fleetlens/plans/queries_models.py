@@ -109,12 +109,16 @@ def boosted_trees(spark, sf):
     return metrics.regression_metrics(model.predict(rows.filter("split = 'test'")), "delta_t_run", "prediction", "test_")
 
 
+# The cohorts that the comparison reports.
+COHORTS = ["urban_tram", "urban_bus", "suburban_bus"]
+
+
 @query("m9_model_comparison", observed_oracle(" UNION ALL ".join(
     f"""SELECT '{m}' AS model, '{c}' AS cohort, round_even(avg(abs({p}-y)),4) AS mae, round_even(sqrt(avg(pow({p}-y,2))),4) AS rmse FROM scored WHERE {w}"""
-    for m, p in (("formula", "p"), ("zero", "0.0::DOUBLE")) for c, w in (("all", "true"), ("urban_bus", "transit_cohort = 'urban_bus'"))), [SCORED]))
+    for m, p in (("formula", "p"), ("zero", "0.0::DOUBLE")) for c, w in (("all", "true"), *((c, f"transit_cohort = '{c}'") for c in COHORTS))), [SCORED]))
 def model_comparison(spark, sf):
     m = stored_observed(spark, sf)
-    table = metrics.comparison({"formula": formula(m), "zero": m.withColumn("prediction", F.lit(0.0))}, "delta_t_run", cohorts=["urban_bus"])
+    table = metrics.comparison({"formula": formula(m), "zero": m.withColumn("prediction", F.lit(0.0))}, "delta_t_run", cohorts=COHORTS)
     return comparable(table.select("model", "cohort", "mae", "rmse"))
 
 
@@ -203,19 +207,19 @@ def severe(spark, sf):
                                F.col("joint_multimodal_remedy_recovery_rate").alias("joint_recovery_rate"), F.col("joint_multimodal_remedy_mean_reduction_s").alias("joint_mean_reduction_s")), 4)
 
 
-KNN = [("qs", "SELECT * FROM mart WHERE arrival_delay_seconds >= 320 AND arrival_delay_seconds <= 7200"), ("pool", "SELECT * FROM mart WHERE delta_t_run BETWEEN -60 AND 0"),
+SAME = ["hour_of_day", "day_of_week", "is_school_day", "is_public_holiday", "segment_length_meters", "interchange_line_count", "is_metro_proximity", "lane_capacity", "is_tram"]
+KNN = [("qs", "SELECT * FROM mart"), ("pool", "SELECT * FROM mart WHERE delta_t_run BETWEEN -60 AND 0"),
     ("sc", "SELECT stddev_pop(prev_stop_delay::DOUBLE) AS sp, stddev_pop(signalized_intersection_count::DOUBLE) AS ss FROM pool"),
     ("prs", """SELECT q.trip_id AS q_trip_id, q.stop_sequence AS q_stop_sequence, p.trip_id AS cf_trip_id, p.stop_sequence AS cf_stop_sequence,
       sqrt(pow((q.prev_stop_delay - p.prev_stop_delay)/sp, 2) + pow((q.signalized_intersection_count - p.signalized_intersection_count)/ss, 2)) AS distance
-      FROM qs q JOIN pool p ON q.hour_of_day = p.hour_of_day AND q.transit_cohort = p.transit_cohort AND q.day_of_week = p.day_of_week, sc""")]
+      FROM qs q JOIN pool p ON """ + " AND ".join(f"q.{c} = p.{c}" for c in SAME) + ", sc")]
 
 
 @query("m16_nearest_on_target", observed_oracle("""SELECT q_trip_id, q_stop_sequence::BIGINT AS q_stop_sequence, cf_trip_id, cf_stop_sequence::BIGINT AS cf_stop_sequence, round(distance, 6) + 0.0 AS distance FROM prs
   QUALIFY row_number() OVER (PARTITION BY q_trip_id, q_stop_sequence ORDER BY distance, cf_trip_id, cf_stop_sequence) <= 3""", KNN))
 def nearest(spark, sf):
     m = stored_observed(spark, sf)
-    found = explain.nearest_on_target(m.filter("arrival_delay_seconds between 320 and 7200"), m, ["trip_id", "stop_sequence"], ["hour_of_day", "transit_cohort", "day_of_week"],
-                                      ["prev_stop_delay", "signalized_intersection_count"], "delta_t_run", -60.0, 0.0)
+    found = explain.nearest_on_target(m, m, ["trip_id", "stop_sequence"], SAME, ["prev_stop_delay", "signalized_intersection_count"], "delta_t_run", -60.0, 0.0)
     return comparable(found.select("q_trip_id", "q_stop_sequence", "cf_trip_id", "cf_stop_sequence", "distance"))
 
 

@@ -173,7 +173,7 @@ def corridor_links(spark, sf):
 
 _STATIONS = "(VALUES " + ", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in nw.METRO_STATIONS) + ") m(mlat, mlon)"
 HUB_SQL = [("wide", "SELECT stop_id, stop_name, stop_lat, 20.9::DOUBLE + (stop_lon - 20.9::DOUBLE)*6 AS stop_lon FROM stops"),
-    ("lines", "SELECT stop_id, count(DISTINCT route_id) AS n FROM stop_times JOIN trips USING (trip_id) WHERE service_date < '2026-10-07' GROUP BY 1"),
+    ("lines", "SELECT stop_id, count(DISTINCT route_id) AS n FROM stop_times JOIN trips USING (trip_id) GROUP BY 1"),
     ("dist", f"SELECT stop_id, min({_hav('stop_lat', 'stop_lon', 'mlat', 'mlon')}) AS m FROM wide, {_STATIONS} GROUP BY 1")]
 
 
@@ -184,8 +184,7 @@ def wide_stops(spark, sf):
 @query("c15_stop_hubs", with_views(["stops", "stop_times", "trips"], """SELECT stop_id, stop_name, COALESCE(n, 1)::BIGINT AS interchange_line_count, (m <= 300)::BIGINT AS is_metro_proximity, round_even(m, 1) AS min_dist_to_metro_m,
   (COALESCE(n, 1) >= 10 OR m <= 300)::BIGINT AS is_major_transfer_hub FROM wide JOIN dist USING (stop_id) LEFT JOIN lines USING (stop_id)""", HUB_SQL))
 def hubs(spark, sf):
-    trips = domain.trips(spark, sf).filter("service_date < '2026-10-07'")
-    return comparable(nw.stop_hubs(wide_stops(spark, sf), domain.stop_times(spark, sf), trips))
+    return comparable(nw.stop_hubs(wide_stops(spark, sf), domain.stop_times(spark, sf), domain.trips(spark, sf)))
 
 
 @query("a4_routes_per_stop", with_views(["stop_times", "trips"], "SELECT stop_id, count(DISTINCT route_id) AS n_lines FROM stop_times JOIN trips USING (trip_id) GROUP BY 1"))

@@ -346,7 +346,12 @@ def link_weather_preview(updates: DataFrame, links: DataFrame, weather: DataFram
     at = clock.epoch_to_utc("rt_arrival_time")
     hours = weather.withColumnRenamed("timestamp", "w_hour")
     rows = updates.filter(F.abs("arrival_delay_seconds") <= 1800).withColumn("arrival_time", at)
-    joined = rows.join(links, F.col("stop_id") == F.col("stop_id_curr")).join(
+    # The leading sort columns come from the updates and each linked update gives a row, so the first ``limit`` of them bound the result.
+    key = F.struct("trip_id", "route_id", "stop_id", "arrival_delay_seconds", "arrival_time")
+    linked = rows.join(links, F.col("stop_id") == F.col("stop_id_curr"), "left_semi").withColumn("__key", key)
+    last = linked.select("__key").orderBy("__key").limit(limit).agg(F.max("__key").alias("__last"))
+    few = linked.join(F.broadcast(last), F.col("__key") <= F.col("__last")).drop("__key", "__last")  # one row
+    joined = few.join(links, F.col("stop_id") == F.col("stop_id_curr")).join(
         hours, clock.hour_bucket(F.col("arrival_time")) == F.col("w_hour"), "left")
     out = joined.select(
         "trip_id", "route_id", "stop_id", F.col("arrival_delay_seconds").alias("delay_s"), "arrival_time",
