@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import rows_of, scratch
+from fleetlens.llm.common import rows_of, scratch, small_or_shuffled, stored
 
 ARCHIVE_BYTES = 16 << 20
 #: The header lines of ARC versions and the profile of revisit records.
@@ -166,11 +166,12 @@ def warc_record(fields: dict[str, str], block: bytes) -> bytes:
 
 
 def convert(spark: SparkSession, arc_folder: str, warc_folder: str, min_bytes: int = 0) -> None:
-    """ARC files to WARC files. Blocks are shuffled once, compressed, to meet the response of their payload; hot payloads are split by adaptive execution."""
+    """ARC files to WARC files. Payloads that occur more than once are looked up map-side while a count shows them few; beyond that compressed
+    blocks are shuffled once, and adaptive execution splits hot payloads."""
     arcs = _read(spark, arc_folder)
     copies = (convertible(arcs, with_block=False).filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
               .agg(F.min(F.struct(F.col("page_id").isNull().alias("no"), "page_id", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    records = convertible(arcs).join(copies, "payload_digest", "left")
+    records = convertible(arcs).join(small_or_shuffled(stored(copies, "repeated-payloads")), "payload_digest", "left")
     original = F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first.page_id"))
     rows = records.select("page_id", "url", "ip", "captured", "payload_digest", "packed", F.when(~original, F.col("first.page_id")).alias("of"), F.when(~original, F.col("first.url")).alias("of_url"))
 
