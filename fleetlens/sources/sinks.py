@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.operators.latest import latest_per_key
 from fleetlens.session import checkpointed
@@ -106,8 +107,11 @@ def compact(spark: SparkSession, source: str, target: str, closed: Column) -> in
 
     Rows are gathered by partition, so an hour has one file unless it is larger than the session's advisory partition size.
     """
-    rows = spark.read.parquet(source).filter(closed)
-    parts = [c for c in ("source", "date", "hour") if c in rows.columns]
+    found = spark.read.parquet(source).schema
+    parts = [c for c in ("source", "date", "hour") if c in found.names]
+    # Partition values stay text, so that "00" does not come back as 0.
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in parts else f.dataType) for f in found.fields])
+    rows = spark.read.schema(schema).parquet(source).filter(closed)
     staging = f"{target}.staging"
     publish = lambda df, path: gathered(df, *parts).write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
     remove(spark, staging)
