@@ -53,7 +53,7 @@ def duckdb_seconds(sf: str, names: list[str]) -> dict[str, float]:
     for name in names:
         if name in catalog.ORACLE:
             t0 = time.time()
-            con.execute(catalog.ORACLE[name]).fetch_arrow_table()
+            con.execute(catalog.ORACLE[name]).fetchall()
             out[name] = round(time.time() - t0, 3)
     return out
 
