@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 2, percent
     """One row per input row: doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, kept, n_links of the class."""
     signed = stored(_signed(docs, text, words), "signatures")
     key = ["h1", "h2", "n"]
-    classes = stored(signed.filter("n > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "sig")).alias("m")).filter("m.doc_id IS NOT NULL")
+    classes = stored(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc_id", "sig")).alias("m"))
                      .select(*key, F.col("m.doc_id").alias("id"), F.col("n").alias("size"), F.col("m.sig").alias("sig")), "classes")
     posted = stored(_posted(classes), "postings")
     long_lists = posted.filter(F.col("n") > SHORT)

@@ -205,6 +205,17 @@ def test_near_duplicates(spark, odd, docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_row_without_id_leaves_its_copies_linked(spark):
+    rng = random.Random(12)
+    bodies = list(variants(rng, 60, 3))
+    rows = [(d, bodies[0], "en", "s", 0) for d in (None, 7, 5, None, 9)] + [(d, t, "en", "s", 0) for d, t in ((20, bodies[1]), (21, bodies[2]))]
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect() if r.doc_id is not None}
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == plain_components([(d, t) for d, t, *_ in rows if d is not None])
+    assert got[9].component_id == 5 and not got[7].kept and not got[9].kept and got[9].class_id == 5
+    left = near_dedup.without_near_duplicates(spark.createDataFrame(rows, SCHEMA), words=2).collect()
+    assert {7, 9}.isdisjoint({r.doc_id for r in left})
+
+
 def test_long_lists_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_SETS", 16)
     rng = random.Random(3)
