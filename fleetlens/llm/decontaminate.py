@@ -1,14 +1,14 @@
 """Benchmark decontamination by template canonicalisation, with Spark expressions only.
 
 Texts become templates: numbers, units after numbers and names (capitalised words after a lower-case word or a comma) turn into typed
-placeholders, other words are lower-cased, punctuation goes. Windows of WINDOW template words are hash-joined: every window of an item against every
-STRIDE-th window of a document, so any WINDOW + STRIDE - 1 template words in common are found. Items shorter than that are joined by windows of
-their own length at every place; items of fewer than LEAST words say too little and are ignored. The item side is broadcast only if a
-count shows it small, else the same join shuffles.
+placeholders, other words are lower-cased, punctuation goes. Seeds, windows of SEED template words with a literal word among them, are hash-joined at
+every place of items and documents, so SEED template words in common fix an alignment wherever they stand. A text edited so that no SEED words in a row are left
+is not reached. Items of fewer than LEAST words say too little and are ignored. The item side is broadcast only if a count shows it small, else the same join shuffles.
 
 A hit fixes an alignment of item and document. Along it words are compared one by one, and slots must be consistent: equal item values
 stand for equal document values and different ones for different ones. The words that agree on consistent alignments, united, are the coverage;
-only literal words count. A document is contaminated by an item if it covers at least ``least`` of the item's words or holds RUN
+only literal words count. Alignments are united where they lie within an item's length of each other, and those with WINDOW agreeing words in a row
+wherever they lie; else scattered common phrases of a long document would add up to an item. A document is contaminated by an item if it covers at least ``least`` of the item's words or holds RUN
 words of it. ``reparameterised`` tells whether slots were filled anew.
 
 Null and empty texts have no words and never match. Rows that repeat a doc_id are one document; a null doc_id or item_id is never reported, and such
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.common import small_or_shuffled, stored, text_of
 
-WINDOW, STRIDE, LEAST, RUN = 8, 4, 5, 25
+SEED, WINDOW, LEAST, RUN = 3, 8, 5, 25
 #: Words that name a unit when they follow a number.
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "mi", "mile", "miles", "metre", "metres", "meter", "meters", "mg", "g", "kg", "t", "lb", "lbs", "oz", "ml", "l", "litre", "litres", "liter", "liters",
          "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years",
@@ -48,25 +48,25 @@ def _bare(words: Column) -> Column:
     return F.transform(words, lambda w: F.regexp_replace(w, "^⟨(name|num|unit):.*⟩$", "⟨$1⟩"))
 
 
-def _windows(rows: DataFrame, length: int, stride: int, keep: list[str], place: str) -> DataFrame:
-    """(keep..., hash, place): hashes of every ``stride``-th window of ``length`` words."""
-    last = F.size("words") - length + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(stride)))
-    return rows.select(*keep, F.explode(F.transform(starts, lambda i: F.struct(i.alias(place), F.xxhash64(F.slice("words", i, length)).alias("hash")))).alias("w")).select(*keep, f"w.{place}", "w.hash")
+def _seeds(rows: DataFrame, keep: str, place: str) -> DataFrame:
+    """(keep, place, hash): hashes of the windows of SEED words at every place."""
+    last = F.size("words") - SEED + 1
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last))
+    return rows.select(keep, F.explode(F.transform(starts, lambda i: F.struct(i.alias(place), F.slice("words", i, SEED).alias("seed")))).alias("w")).select(keep, f"w.{place}", F.col("w.seed").alias("seed"))
 
 
 def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, shift): where windows of both agree. ``docs`` has (doc_id, words), ``items`` (item_id, words)."""
-    short = [r[0] for r in items.select(F.size("words").alias("n")).filter(f"n >= {LEAST} AND n < {WINDOW + STRIDE - 1}").distinct().collect()]  # at most a few lengths
-    long_items = items.filter(F.size("words") >= WINDOW + STRIDE - 1)
-    found = []
-    for length, stride, own in [(WINDOW, STRIDE, long_items), *[(n, 1, items.filter(F.size("words") == n)) for n in sorted(short)]]:
-        side = small_or_shuffled(stored(_windows(own, length, 1, ["item_id"], "item_at"), "item-windows"))
-        found.append(_windows(docs, length, stride, ["doc_id"], "doc_at").join(side, "hash").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")))
-    every = found[0]
-    for other in found[1:]:
-        every = every.unionByName(other)
-    return every.distinct()
+    """(doc_id, item_id, shift): where seeds of both agree. ``docs`` has (doc_id, words), ``items`` (item_id, words)."""
+    hashed = F.xxhash64("seed").alias("hash")
+    own = _seeds(items.filter(F.size("words") >= LEAST), "item_id", "item_at").filter(F.exists("seed", lambda w: ~w.startswith("⟨")))
+    side = small_or_shuffled(stored(own.select("item_id", "item_at", hashed), "item-seeds"))
+    return _seeds(docs, "doc_id", "doc_at").select("doc_id", "doc_at", hashed).join(side, "hash").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
+
+
+def _runs(flags: Column, length: Column | int) -> Column:
+    """The places at which ``length`` true flags in a row start."""
+    last = F.size(flags) - length + 1
+    return F.when(last >= 1, F.filter(F.sequence(F.lit(1), last), lambda i: F.forall(F.slice(flags, i, length), lambda x: x))).otherwise(F.array().cast("array<int>"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -77,23 +77,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", leas
     found = stored(alignments(rows.select("doc_id", template(F.col("text")).alias("words")), items), "alignments")
     wanted = small_or_shuffled(stored(found.select("doc_id").distinct(), "hit-documents"))
     texts = rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", template(F.col("text"), values=True).alias("theirs"))
-    both = found.join(texts, "doc_id").join(small_or_shuffled(items), "item_id")
-    low = F.greatest(F.lit(0), -F.col("shift"))
-    aligned = both.select("doc_id", "item_id", "words", low.alias("low"), F.expr("slice(full, greatest(0, -shift) + 1, size(full))").alias("ours"),
-                          F.expr("slice(theirs, greatest(0, shift) + 1, size(full) - greatest(0, -shift))").alias("theirs"))
-    pairs = F.zip_with("ours", "theirs", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    slots = F.filter("pairs", lambda p: p["a"].startswith("⟨") & F.coalesce(p["b"].startswith("⟨"), F.lit(False)) & (F.substring_index(p["a"], ":", 1) == F.substring_index(p["b"], ":", 1)))
-    compared = aligned.select("doc_id", "item_id", "words", "low", pairs.alias("pairs")).withColumn("slots", slots)
+    # one row a pair of document and item, so that a text is not copied for each of its alignments
+    both = found.groupBy("doc_id", "item_id").agg(F.collect_list("shift").alias("shifts")).join(texts, "doc_id").join(small_or_shuffled(items), "item_id")
+    aligned = both.select("doc_id", "item_id", "words", F.explode(F.transform("shifts", lambda s: F.struct(s.alias("shift"), F.zip_with(
+        F.slice("full", F.greatest(F.lit(0), -s) + 1, F.size("full")), F.slice("theirs", F.greatest(F.lit(0), s) + 1, F.size("full") - F.greatest(F.lit(0), -s)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("pairs")))).alias("x"))
+    is_slot = lambda w: F.coalesce(w.startswith("⟨"), F.lit(False))
+    one_kind = lambda p: is_slot(p["a"]) & is_slot(p["b"]) & (F.substring_index(p["a"], ":", 1) == F.substring_index(p["b"], ":", 1))
+    compared = (aligned.select("doc_id", "item_id", "words", "x.shift", "x.pairs")
+                .withColumn("agree", F.transform("pairs", lambda p: F.coalesce(p["a"] == p["b"], F.lit(False)) | one_kind(p))).withColumn("slots", F.filter("pairs", one_kind)))
     distinct = lambda f: F.size(F.array_distinct(F.transform("slots", f)))
     consistent = compared.filter((distinct(lambda p: p["a"]) == distinct(lambda p: p)) & (distinct(lambda p: p["b"]) == distinct(lambda p: p)))
-    same = F.filter(F.transform("pairs", lambda p, i: F.when((p["a"] == p["b"]) & ~p["a"].startswith("⟨"), i + F.col("low"))), lambda i: i.isNotNull())
+    low = F.greatest(F.lit(0), -F.col("shift"))
+    same = F.filter(F.transform("pairs", lambda p, i: F.when((p["a"] == p["b"]) & ~is_slot(p["a"]), i + low)), lambda i: i.isNotNull())
     literal = F.size(F.filter("words", lambda w: ~w.startswith("⟨")))
-    united = (consistent.select("doc_id", "item_id", literal.alias("literal"), same.alias("same"), F.size("slots").alias("n_slots"), F.exists("slots", lambda p: p["a"] != p["b"]).alias("changed"))
-              .groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("same")))).alias("n_words"), F.max("literal").alias("literal"),
-                                                F.max("n_slots").alias("n_slots"), F.max("changed").alias("reparameterised")))
+    place = F.floor(F.col("shift") / F.size("words"))
+    places = F.array_compact(F.array(place, place + 1, F.when(F.size(_runs(F.col("agree"), WINDOW)) > 0, F.lit(-1 << 62))))
+    united = (consistent.select("doc_id", "item_id", literal.alias("literal"), same.alias("same"), F.size("slots").alias("n_slots"), F.exists("slots", lambda p: p["a"] != p["b"]).alias("changed"), F.explode(places).alias("place"))
+              .groupBy("doc_id", "item_id", "place").agg(F.size(F.array_distinct(F.flatten(F.collect_list("same")))).alias("n_words"), F.max("literal").alias("literal"),
+                                                         F.max(F.struct(F.size("same"), "changed", "n_slots")).alias("best"))
+              .select("doc_id", "item_id", "n_words", "literal", "best.n_slots", F.col("best.changed").alias("reparameterised")))  # as the alignment of most words says
     coverage = F.col("n_words") / F.greatest("literal", F.lit(1))
-    return (united.filter((F.col("n_words") >= LEAST) & ((coverage >= least) | (F.col("n_words") >= RUN)))
-            .select("doc_id", "item_id", coverage.alias("coverage"), F.col("n_words").cast("long"), F.col("n_slots").cast("long"), "reparameterised"))
+    return (united.filter((F.col("n_words") >= LEAST) & ((coverage >= least) | (F.col("n_words") >= RUN))).groupBy("doc_id", "item_id")
+            .agg(F.max(coverage).alias("coverage"), F.max("n_words").cast("long").alias("n_words"), F.max("n_slots").cast("long").alias("n_slots"), F.max("reparameterised").alias("reparameterised")))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

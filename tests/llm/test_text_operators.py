@@ -338,6 +338,25 @@ def test_contamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, benchmark).count() == 0 and decontaminate.clean_documents(own, benchmark.limit(0)).count() == own.count()
 
 
+def leaks(spark, items, rows):
+    own = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows.items()], SCHEMA)
+    return {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.contaminated(own, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+
+
+def test_edited_items_are_found_at_every_offset(spark):
+    plain = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    edited = lambda size, at: " ".join("zz" if i in at else w for i, w in enumerate(plain[:size]))
+    items = {1: " ".join(plain[:17]), 2: " ".join(plain[20:36]), 3: " ".join(plain[36:60]), 4: "five short words stand here"}
+    rows, want = {}, set()
+    for k in range(4):
+        before = "qq " * k
+        rows |= {k: before + edited(17, {8}), 10 + k: before + items[2].replace(plain[27], "zz"), 20 + k: before + " ".join("zz" if i % 8 == 7 else w for i, w in enumerate(plain[36:60])),
+                 30 + k: before + " ".join("zz" if i % 4 == 3 else w for i, w in enumerate(plain[36:60])), 40 + k: before + "five short words stand here again"}
+        want |= {(k, 1), (10 + k, 2), (20 + k, 3), (30 + k, 3), (40 + k, 4)}
+    rows[90] = " and ".join(" ".join(plain[i:i + 3]) + " qq" * 40 for i in range(0, 17, 3))  # short phrases far apart
+    assert leaks(spark, items, rows).keys() == want
+
+
 def test_planted_items_are_found(spark, docs):
     """Against a plain search of each item's words in each document."""
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
