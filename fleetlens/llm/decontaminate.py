@@ -5,9 +5,10 @@ placeholders, other words are lower-cased, punctuation goes. Seeds, windows of S
 every place of items and documents, so SEED template words in common fix an alignment wherever they stand. A text edited so that no SEED words in a row are left
 is not reached. Items of fewer than LEAST words say too little and are ignored. The item side is broadcast only if a count shows it small, else the same join shuffles.
 
-A hit fixes an alignment of item and document. Along it words are compared one by one, and slots must be consistent: equal item values
-stand for equal document values and different ones for different ones. The words that agree on consistent alignments, united, are the coverage;
-only literal words count. Alignments are united where they lie within an item's length of each other, and those with WINDOW agreeing words in a row
+A hit fixes an alignment of item and document. Along it words are compared one by one, and slots must be consistent from the first
+to the last seed: among slots with a changed value, equal item values stand for equal document values and different ones for different ones; slots that keep their value
+conflict with nothing. The words that agree on consistent alignments, united, are the coverage. An inconsistent alignment still gives its verbatim runs (slot values
+included) of WINDOW words, or of half the item's if that is less, and beside it alignments of fewer than LEAST words do not count. Only literal words count. Alignments are united where they lie within an item's length of each other, and those with WINDOW agreeing words in a row
 wherever they lie; else scattered common phrases of a long document would add up to an item. A document is contaminated by an item if it covers at least ``least`` of the item's words or holds RUN
 words of it. ``reparameterised`` tells whether slots were filled anew.
 
@@ -85,15 +86,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", leas
     one_kind = lambda p: is_slot(p["a"]) & is_slot(p["b"]) & (F.substring_index(p["a"], ":", 1) == F.substring_index(p["b"], ":", 1))
     compared = (aligned.select("doc_id", "item_id", "words", "x.shift", "x.pairs")
                 .withColumn("agree", F.transform("pairs", lambda p: F.coalesce(p["a"] == p["b"], F.lit(False)) | one_kind(p))).withColumn("slots", F.filter("pairs", one_kind)))
-    distinct = lambda f: F.size(F.array_distinct(F.transform("slots", f)))
-    consistent = compared.filter((distinct(lambda p: p["a"]) == distinct(lambda p: p)) & (distinct(lambda p: p["b"]) == distinct(lambda p: p)))
+    starts = _runs(F.col("agree"), SEED)
+    turned = F.filter("slots", lambda p: p["a"] != p["b"])
+    distinct = lambda f: F.size(F.array_distinct(F.transform(turned, f)))
+    consistent = (distinct(lambda p: p["a"]) == distinct(lambda p: p)) & (distinct(lambda p: p["b"]) == distinct(lambda p: p))
+    least_run = F.greatest(F.lit(LEAST), F.least(F.lit(WINDOW), F.ceil(F.size(F.filter("words", lambda w: ~w.startswith("⟨"))) * least).cast("int")))
+    judged = (compared.withColumn("starts", starts).withColumn("slots", F.filter(F.slice("pairs", F.array_min("starts"), F.array_max("starts") - F.array_min("starts") + SEED), one_kind))
+              .withColumn("consistent", consistent).withColumn("verbatim", F.transform("pairs", lambda p: F.coalesce(p["a"] == p["b"], F.lit(False)))).withColumn("least_run", least_run))
+    copied = F.flatten(F.transform(_runs(F.col("verbatim"), F.col("least_run")), lambda i: F.sequence(i, i + F.col("least_run") - 1)))
+    counted = judged.withColumn("copied", F.when(~F.col("consistent"), copied))
     low = F.greatest(F.lit(0), -F.col("shift"))
-    same = F.filter(F.transform("pairs", lambda p, i: F.when((p["a"] == p["b"]) & ~is_slot(p["a"]), i + low)), lambda i: i.isNotNull())
+    same = F.filter(F.transform("pairs", lambda p, i: F.when((p["a"] == p["b"]) & ~is_slot(p["a"]) & (F.col("consistent") | F.coalesce(F.array_contains("copied", i + 1), F.lit(False))), i + low)), lambda i: i.isNotNull())
     literal = F.size(F.filter("words", lambda w: ~w.startswith("⟨")))
     place = F.floor(F.col("shift") / F.size("words"))
     places = F.array_compact(F.array(place, place + 1, F.when(F.size(_runs(F.col("agree"), WINDOW)) > 0, F.lit(-1 << 62))))
-    united = (consistent.select("doc_id", "item_id", literal.alias("literal"), same.alias("same"), F.size("slots").alias("n_slots"), F.exists("slots", lambda p: p["a"] != p["b"]).alias("changed"), F.explode(places).alias("place"))
-              .groupBy("doc_id", "item_id", "place").agg(F.size(F.array_distinct(F.flatten(F.collect_list("same")))).alias("n_words"), F.max("literal").alias("literal"),
+    united = (counted.select("doc_id", "item_id", literal.alias("literal"), same.alias("same"), (~F.col("consistent")).alias("conflict"), F.size("slots").alias("n_slots"), (F.col("consistent") & F.exists("slots", lambda p: p["a"] != p["b"])).alias("changed"), F.explode(places).alias("place"))
+              .groupBy("doc_id", "item_id", "place").agg(F.size(F.array_distinct(F.flatten(F.when(F.max("conflict"), F.collect_list(F.when(F.size("same") >= LEAST, F.col("same")))).otherwise(F.collect_list("same"))))).alias("n_words"), F.max("literal").alias("literal"),
                                                          F.max(F.struct(F.size("same"), "changed", "n_slots")).alias("best"))
               .select("doc_id", "item_id", "n_words", "literal", "best.n_slots", F.col("best.changed").alias("reparameterised")))  # as the alignment of most words says
     coverage = F.col("n_words") / F.greatest("literal", F.lit(1))

@@ -357,6 +357,13 @@ def test_edited_items_are_found_at_every_offset(spark):
     assert leaks(spark, items, rows).keys() == want
 
 
+def test_slots_count_only_where_the_item_matches(spark):
+    first = "the clerk wrote that every parcel on this long shelf has to leave the house before noon and that none of them may be opened by the young guard at the gate"
+    items = {1: f"{first} while 7 carts stand at 9 doors and 7 men wait", 2: "a small shop sells 12 green lamps each day and 12 red lamps each night to people of the town"}
+    rows = {1: f"{first} but 4 dogs ran by 8 trees or 5 ponds", 2: items[2].replace("12 red", "13 red"), 3: items[2].replace("12", "15"), 4: "nothing of the kind"}
+    assert leaks(spark, items, rows) == {(1, 1): False, (2, 2): True, (3, 2): True}
+
+
 def test_planted_items_are_found(spark, docs):
     """Against a plain search of each item's words in each document."""
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
