@@ -364,6 +364,15 @@ def test_slots_count_only_where_the_item_matches(spark):
     assert leaks(spark, items, rows) == {(1, 1): False, (2, 2): True, (3, 2): True}
 
 
+def test_names_that_open_a_sentence(spark):
+    items = {1: "Tom has 12 apples left. Tom buys 3 more pears. Tom eats 5 of them now.", 2: "in the tale that they tell of Kent and Devon the old king is with Mary and the young queen"}
+    rows = {1: items[1].replace("Tom", "Ann").replace("12", "8"), 2: items[1].upper(), 3: items[2].replace(" Kent", "\nKent").replace(" Devon", "  Devon").replace(" Mary", "\n\n Mary"),
+            4: "\n".join(items[1].split()), 5: "Bob had his apples. Bob sold more pears."}
+    assert leaks(spark, items, rows) == {(1, 1): True, (2, 1): False, (3, 2): False, (4, 1): False}
+    words = spark.createDataFrame([(rows[3], items[2])], "a string, b string").select(decontaminate.template(F.col("a")).alias("a"), decontaminate.template(F.col("b")).alias("b")).first()
+    assert words.a == words.b
+
+
 def test_planted_items_are_found(spark, docs):
     """Against a plain search of each item's words in each document."""
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
