@@ -149,7 +149,9 @@ def _list_links(long_lists: DataFrame, joined: DataFrame, sets: DataFrame, perce
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", words: int = 2, percent: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, kept, n_links of the class."""
+    """One row per input row: doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, kept, n_links of the class.
+
+    ``n_links`` counts the links that were needed to connect, not all similar sets: long lists give links to their leader and links that connect what was apart."""
     signed = stored(_signed(docs, text, words), "signatures")
     key = ["h1", "h2", "n"]
     classes = stored(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc_id", "sig")).alias("m"))
