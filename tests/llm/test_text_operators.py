@@ -108,6 +108,15 @@ def test_added_spans_keep_base_and_do_not_overlap(spark, docs):
         assert len(spans) == r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_added
 
 
+def test_copies_of_one_vector_do_not_fill_the_sample(spark):
+    def example(i):
+        y = float(i % 2)
+        return (i, [(y, 0, 9, [float(i // 2 % 2), 10 * y, *[0.0] * 20])])
+    found = spark.createDataFrame([example(i) for i in range(4000)], "doc_id long, labelled array<struct<y double, s int, e int, x array<double>>>")
+    trees = pii.train(found, rows=400)
+    assert trees.nodes and trees.thresholds.keys() == {"email", "ip"}
+
+
 def test_trigram_queries_hold_for_every_match():
     texts = {"assign": "API_KEY = abcdefgh12", "access": "xAKIA" + "A1" * 8, "private_key": "-----BEGIN EC PRIVATE KEY-----", "github": "gho_" + "a" * 36, "slack": "xoxb-" + "1" * 12, "stripe": "sk_live_" + "a" * 20,
              "jwt": "eyJabcdefgh.eyJabcdefgh.abcdefgh"}
