@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import bpe, chat, decontaminate, exact_dedup, langid, lm, near_dedup, pii, secrets, warc
+from fleetlens.llm import alignment, bpe, chat, decontaminate, exact_dedup, langid, lm, near_dedup, packing, pii, secrets, warc, whitening
 from fleetlens.llm.common import documents, importable
 
 
@@ -49,11 +49,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(documents(spark, sf_dir))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
 def _ready(query):
     return lambda spark, sf_dir: query(importable(spark), sf_dir)
 
 
-QUERIES = {f.__name__: _ready(f) for f in (op1_pii, op2_exact_dedup, op3_bpe, op4_lm_score, op5_decontaminate, op6_secrets, op7_language, op8_chat, op9_minhash, op10_warc)}
+QUERIES = {f.__name__: _ready(f) for f in (op1_pii, op2_exact_dedup, op3_bpe, op4_lm_score, op5_decontaminate, op6_secrets, op7_language, op8_chat, op9_minhash, op10_warc, op11_whitening, op12_alignment, op13_packing)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
