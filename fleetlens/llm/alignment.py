@@ -34,7 +34,9 @@ from fleetlens.llm.fast_tokens import ByteLevel, Pieces
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Pairs broadcast at most; bytes of text aligned at once, unless one text is longer; pairs of a group's links spelt out one by one.
-HEAVY, SPAN, SMALL_GROUP = 200_000, 1 << 21, 64
+HEAVY, SPAN, SMALL_GROUP = 200_000, 1 << 20, 64
+#: Tokens compared one by one at a new shift before blocks double.
+FIRST_PROBES = 8
 ALIGNED = "doc_id long, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()),
                     ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
@@ -42,126 +44,141 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), *((c, pa.int64(
 
 def stretches(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(one-to-one stretches as (i, j, length), irregular groups as (i, i_end, j, j_end)) of two rising arrays with one last value."""
-    a, b = np.ascontiguousarray(ends_a, np.int64), np.ascontiguousarray(ends_b, np.int64)
-    raw_a, raw_b, list_a, list_b = a.tobytes(), b.tobytes(), a.tolist(), b.tolist()
-    runs, groups, i, j, n, m = [], [], 0, 0, len(a), len(b)
+    n = len(ends_a)
+    a, b = ends_a.tolist(), ends_b.tolist()
+    a.append(-1)  # ends that never agree stop every probe
+    b.append(-2)
+    runs: list[int] = []
+    groups: list[int] = []
+    i = j = 0
     while i < n:
-        if list_a[i] == list_b[j]:
-            start, most, step = i, min(n - i, m - j), 1
-            done, shift = 1, j - i
-            while done < most:  # block of ``step`` tokens after the ``done`` ones known to agree
-                step = min(step, most - done)
-                low = (start + done) * 8
-                if raw_a[low:low + 8 * step] == raw_b[low + 8 * shift:low + 8 * (shift + step)]:
-                    done += step
-                    step *= 2
-                elif step == 1:
-                    break
-                else:
-                    most, step = done + step - 1, max(1, step >> 1)  # the difference lies within this block
-            runs.append((start, start + shift, done))
-            i, j = start + done, start + shift + done
-        else:
-            p, q = i, j
-            x, y = list_a[p], list_b[q]
-            while x != y:
-                if x < y:
-                    p += 1
-                    x = list_a[p]
-                else:
-                    q += 1
-                    y = list_b[q]
-            groups.append((i, p + 1, j, q + 1))
-            i, j = p + 1, q + 1
+        start, first, few = i, j, i + FIRST_PROBES
+        while a[i] == b[j]:  # the first blocks at the current shift hold one token
+            i += 1
+            j += 1
+            if i == few:
+                step = FIRST_PROBES
+                while a[i:i + step] == b[j:j + step]:  # then they double
+                    i += step
+                    j += step
+                    step += step
+                while step > 1:  # the first difference lies within the last block
+                    step >>= 1
+                    if a[i:i + step] == b[j:j + step]:
+                        i += step
+                        j += step
+                break
+        if i > start:
+            runs += (start, first, i - start)
+            if i == n:
+                break
+        p, q, x, y = i, j, a[i], b[j]
+        while x != y:
+            if x < y:
+                p += 1
+                x = a[p]
+            else:
+                q += 1
+                y = b[q]
+        groups += (i, p + 1, j, q + 1)
+        i, j = p + 1, q + 1
     return np.array(runs, dtype=np.int64).reshape(-1, 3), np.array(groups, dtype=np.int64).reshape(-1, 4)
 
 
-class _Words(dict):
-    """Memo from an id pair's code to its text; as large as the pairs of one task, started anew when full."""
-
-    def __init__(self, width: int):
-        super().__init__()
-        self.width = width
-
-    def __missing__(self, code: int) -> str:
-        if len(self) >= 1 << 20:
-            self.clear()
-        out = self[code] = "%d|%d" % divmod(code, self.width)
-        return out
-
-
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each range, laid end to end."""
     total = int(lengths.sum())
     return np.arange(total) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
 
 
+def _spelt(size: int, separators: tuple[bytes, bytes]) -> np.ndarray:
+    """Decimal id and separator as fixed-width bytes, padded with zero bytes, at 2 * id + which separator."""
+    return np.array([b"%d%b" % (i, s) for i in range(size) for s in separators])
+
+
 class Aligner:
     def __init__(self, vocabulary: str, piece_model: str):
         self.a, self.b = ByteLevel(vocabulary), Pieces(piece_model)
         self.size_a, self.size_b = (np.array([len(x) for x in side.bytes], dtype=np.int64) for side in (self.a, self.b))
+        self.pool_b, self.start_b = np.frombuffer(b"".join(self.b.bytes), np.uint8), np.cumsum(self.size_b) - self.size_b
         self.width = self.b.size
-        self.words = _Words(self.width)
+        self.spelt = np.concatenate([_spelt(self.a.size, (b",", b"|")), _spelt(self.b.size, (b",", b";"))])
+
+    def _tokens(self, texts: list[str]) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+        """The texts whose tokens give the bytes of ``space + text`` on both sides, with their ids."""
+        full = [k for k, t in enumerate(texts) if t]
+        found = []
+        for k, ids in zip(full, self.b.ids([texts[k] for k in full]), strict=True):
+            body, theirs = " " + texts[k], np.array(ids, dtype=np.int64)
+            plain, own = body.encode("utf-8", "replace"), self.a.plain_ids(body).astype(np.int64)
+            # A gives the bytes of its pieces of text, so a lost piece shows in the length
+            if self.size_a[own].sum() == len(plain) == self.size_b[theirs].sum():
+                found.append((k, own, theirs, plain))
+        if not found:
+            return [], [], []
+        every = np.concatenate([x[2] for x in found])
+        said = self.pool_b[_ranges(self.start_b[every], self.size_b[every])]
+        wrong = np.concatenate([[0], np.cumsum(said != np.frombuffer(b"".join(x[3] for x in found), np.uint8))])
+        ends = np.cumsum([len(x[3]) for x in found])
+        same = wrong[ends] == wrong[np.concatenate([[0], ends[:-1]])]
+        kept = [x for x, ok in zip(found, same, strict=True) if ok]
+        return [x[0] for x in kept], [x[1] for x in kept], [x[2] for x in kept]
 
     def align(self, texts: list[str]) -> list[tuple | None]:
         """Per text (n_a, n_b, n_groups, n_links, digest, pairs, times), None for one without tokens."""
         out: list[tuple | None] = [None] * len(texts)
-        chosen, ids_a, ids_b, sizes = [], [], [], []
-        full = [k for k, t in enumerate(texts) if t]
-        for k, theirs in zip(full, self.b.ids([texts[k] for k in full]), strict=True):
-            body = " " + texts[k]
-            own, plain = self.a.plain_ids(body), body.encode("utf-8", "replace")
-            if b"".join(map(self.b.bytes.__getitem__, theirs)) == plain == b"".join(map(self.a.bytes.__getitem__, own.tolist())):
-                chosen.append(k)
-                ids_a.append(own)
-                ids_b.append(theirs)
-                sizes.append(len(plain))
+        chosen, ids_a, ids_b = self._tokens(texts)
         if not chosen:
             return out
         count_a, count_b = np.array([len(x) for x in ids_a]), np.array([len(x) for x in ids_b])
-        a, b = np.concatenate(ids_a).astype(np.int64), np.concatenate([np.array(x, dtype=np.int64) for x in ids_b])
-        ends_a = np.cumsum(self.size_a[a])
-        runs, odd = stretches(ends_a, np.cumsum(self.size_b[b]))
+        a, b = np.concatenate(ids_a), np.concatenate(ids_b)
+        runs, odd = stretches(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
         at_a, at_b = _ranges(runs[:, 0], runs[:, 2]), _ranges(runs[:, 1], runs[:, 2])
-        last_a = np.cumsum(count_a)  # number of A tokens up to the end of each text
-        plain_codes = a[at_a] * self.width + b[at_b]
-        # groups in order: one-to-one ones and irregular ones by their first A token
-        first_a = np.concatenate([at_a, odd[:, 0]])
-        order = np.argsort(first_a, kind="stable")
-        spelt = np.empty(len(first_a), dtype=object)
-        spelt[:len(at_a)] = list(map(self.words.__getitem__, plain_codes.tolist()))
-        codes, weights, owners = [plain_codes], [np.ones(len(plain_codes), np.int64)], [np.searchsorted(last_a, at_a, "right")]
-        if len(odd):
-            list_a, list_b = a.tolist(), b.tolist()
-            spelt[len(at_a):] = [",".join(map(str, list_a[i:p])) + "|" + ",".join(map(str, list_b[j:q])) for i, p, j, q in odd.tolist()]
-            n_a, n_b = odd[:, 1] - odd[:, 0], odd[:, 3] - odd[:, 2]
-            small = n_a * n_b <= SMALL_GROUP
-            few = odd[small]
-            if len(few):
-                left = _ranges(few[:, 0], n_a[small])  # each A token of a group, with all B tokens of it
-                wide = np.repeat(n_b[small], n_a[small])
-                right = _ranges(np.repeat(few[:, 2], n_a[small]), wide)
-                left = np.repeat(left, wide)
-                codes.append(a[left] * self.width + b[right])
-                weights.append(np.ones(len(left), np.int64))
-                owners.append(np.searchsorted(last_a, left, "right"))
-            for i, p, j, q in odd[~small].tolist():
-                (x, nx), (y, ny) = np.unique(a[i:p], return_counts=True), np.unique(b[j:q], return_counts=True)
-                codes.append((x[:, None] * self.width + y).reshape(-1))
-                weights.append((nx[:, None] * ny).reshape(-1))
-                owners.append(np.full(len(x) * len(y), np.searchsorted(last_a, i, "right")))
+        last_a, last_b = np.cumsum(count_a), np.cumsum(count_b)  # number of tokens up to the end of each text
+        closes_a, closes_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)  # whether a token is the last of its group
+        closes_a[at_a] = closes_b[at_b] = 1
+        closes_a[odd[:, 1] - 1] = closes_b[odd[:, 3] - 1] = 1
+        # each group's A tokens, then its B tokens, as one row of fixed-width words
+        ends_a, starts_b = np.flatnonzero(closes_a) + 1, np.concatenate([[0], np.flatnonzero(closes_b) + 1])
+        words = np.empty(len(a) + len(b), np.int64)
+        words[np.arange(len(a)) + starts_b[np.cumsum(closes_a) - closes_a]] = 2 * a + closes_a
+        words[np.arange(len(b)) + ends_a[np.cumsum(closes_b) - closes_b]] = 2 * (self.a.size + b) + closes_b
+        spelt, size = self.spelt[words].tobytes(), self.spelt.dtype.itemsize
+        groups = np.cumsum(closes_a)[last_a - 1]
+
+        codes, weights, owners = [a[at_a] * self.width + b[at_b]], [np.ones(len(at_a), np.int64)], [np.searchsorted(last_a, at_a, "right")]
+        n_a, n_b = odd[:, 1] - odd[:, 0], odd[:, 3] - odd[:, 2]
+        small = n_a * n_b <= SMALL_GROUP
+        few = odd[small]
+        if len(few):
+            left = _ranges(few[:, 0], n_a[small])  # each A token of a group, with all B tokens of it
+            wide = np.repeat(n_b[small], n_a[small])
+            right = _ranges(np.repeat(few[:, 2], n_a[small]), wide)
+            left = np.repeat(left, wide)
+            codes.append(a[left] * self.width + b[right])
+            weights.append(np.ones(len(left), np.int64))
+            owners.append(np.searchsorted(last_a, left, "right"))
+        for i, p, j, q in odd[~small].tolist():
+            (x, nx), (y, ny) = np.unique(a[i:p], return_counts=True), np.unique(b[j:q], return_counts=True)
+            codes.append((x[:, None] * self.width + y).reshape(-1))
+            weights.append((nx[:, None] * ny).reshape(-1))
+            owners.append(np.full(len(x) * len(y), np.searchsorted(last_a, i, "right")))
         code, weight, owner = np.concatenate(codes), np.concatenate(weights), np.concatenate(owners)
         span = self.a.size * self.width
-        keys, inverse = np.unique(owner * span + code, return_inverse=True)
-        times = np.bincount(inverse, weights=weight, minlength=len(keys)).astype(np.int64)
+        keys = owner * span + code
+        order = np.argsort(keys)
+        keys = keys[order]
+        heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        times, keys = np.add.reduceat(weight[order], heads), keys[heads]
         text_of_key, pair = np.divmod(keys, span)
         cut_pairs = np.searchsorted(text_of_key, np.arange(len(chosen) + 1))
-        spelt = spelt[order].tolist()
-        cut_groups = np.searchsorted(first_a[order], np.concatenate([[0], last_a]))
+        before = 0
         for n, k in enumerate(chosen):
             low, high = cut_pairs[n], cut_pairs[n + 1]
-            own = spelt[cut_groups[n]:cut_groups[n + 1]]
-            out[k] = (int(count_a[n]), int(count_b[n]), len(own), int(times[low:high].sum()), hashlib.sha256(";".join(own).encode()).hexdigest(), pair[low:high], times[low:high])
+            first = size * (int(last_a[n] - count_a[n]) + int(last_b[n] - count_b[n]))
+            own = spelt[first:size * int(last_a[n] + last_b[n])].replace(b"\0", b"")[:-1]
+            out[k] = (int(count_a[n]), int(count_b[n]), int(groups[n]) - before, int(times[low:high].sum()), hashlib.sha256(own).hexdigest(), pair[low:high], times[low:high])
+            before = int(groups[n])
         return out
 
 
