@@ -89,7 +89,7 @@ def panel_predictions(spark, sf):
 @query("m7_winsorized", observed_oracle("""SELECT trip_id, stop_sequence::BIGINT AS stop_sequence, round(greatest(lo, least(hi, COALESCE(headway_deviation, 0))), 6) + 0.0 AS headway_deviation,
   round(greatest(plo, least(phi, prev_stop_delay)), 6) + 0.0 AS prev_stop_delay FROM mart, (SELECT quantile_cont(COALESCE(headway_deviation, 0), 0.01) AS lo, quantile_cont(COALESCE(headway_deviation, 0), 0.99) AS hi FROM labelled WHERE split = 'train'),
   (SELECT v[1 + floor(a)::BIGINT] + (a - floor(a))*(v[least(2 + floor(a)::BIGINT, n)] - v[1 + floor(a)::BIGINT]) AS plo, v[1 + floor(b)::BIGINT] + (b - floor(b))*(v[least(2 + floor(b)::BIGINT, n)] - v[1 + floor(b)::BIGINT]) AS phi
-   FROM (SELECT *, (n - 1)*tail AS a, (n - 1)*(1 - tail) AS b FROM (SELECT list_sort(list(prev_stop_delay::DOUBLE)) AS v, count(*) AS n, greatest(0.0005, least(0.01, 2.0::DOUBLE/count(*)))::DOUBLE AS tail FROM labelled WHERE split = 'train')))""", SPLIT_STEPS))
+   FROM (SELECT *, (n - 1)*0.0005::DOUBLE AS a, (n - 1)*0.9995::DOUBLE AS b FROM (SELECT list_sort(list(prev_stop_delay::DOUBLE)) AS v, count(*) AS n FROM labelled WHERE split = 'train')))""", SPLIT_STEPS))
 def winsorized(spark, sf):
     train = labelled(spark, sf).filter("split = 'train'")
     cols = ["headway_deviation", "prev_stop_delay"]
@@ -267,6 +267,26 @@ def extreme(spark, sf):
     return comparable(explain.extreme_events(stored_observed(spark, sf), 25).select("trip_id", "stop_sequence", "arrival_delay_seconds"))
 
 
-@query("m17_permutation_importance")
+def _network_sql(name: str, source: str, p: str, keys: tuple[int, int]) -> list[tuple[str, str]]:
+    """One run of the row permutation's network over a table with ``at``, ``n``, ``h`` (rows), ``w`` (columns) and the position ``p``."""
+    def mixed(x: str, key: int) -> str:
+        y = f"(({x}) * {explain.MIX_FACTORS[key]} + {explain.MIX_OFFSETS[key]}) % {explain.MIX_PRIME}"
+        return f"(({y}) * ({y}) + ({y})) % {explain.MIX_PRIME}"
+
+    return [(f"{name}_r", f"SELECT *, ({p}) AS p, (({p}) // w + {mixed(f'({p}) % w', keys[0])}) % h AS r FROM {source}"),
+            (name, f"SELECT at, n, h, w, CASE WHEN p < h*w THEN r*w + (p % w + {mixed('r', keys[1])}) % w ELSE p END AS q FROM {name}_r")]
+
+
+MOVED_FEATURES = ["prev_stop_delay", "signalized_intersection_count"]
+PERMUTED = [("ranked", "SELECT *, row_number() OVER (ORDER BY trip_id, stop_sequence) - 1 AS at, count(*) OVER () AS n FROM scored"),
+            ("shape", "SELECT n, h, n // h AS w FROM (SELECT n, floor(sqrt(n::DOUBLE))::BIGINT AS h FROM (SELECT count(*) AS n FROM scored))"),
+            ("spots", "SELECT at, ranked.n, h, w FROM ranked, shape"),
+            *_network_sql("once", "spots", "at", (0, 1)), *_network_sql("twice", "once", "(q + n // 2) % n", (2, 3)),
+            ("exchanged", "SELECT a.*, " + ", ".join(f"b.{f} AS new_{i}" for i, f in enumerate(MOVED_FEATURES)) + " FROM ranked a JOIN twice t ON t.at = a.at JOIN ranked b ON b.at = t.q")]
+
+
+@query("m17_permutation_importance", observed_oracle(" UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round(avg(abs(y - {formula_sql(**{k: f'COALESCE(new_{i}, 0)::DOUBLE'})})) - avg(abs(y - p)), 6) + 0.0 AS mae_rise FROM exchanged"
+    for i, (f, k) in enumerate(zip(MOVED_FEATURES, ("prev", "sig")))), [SCORED, *PERMUTED]))
 def permutation(spark, sf):
-    return explain.permutation_importance(stored_observed(spark, sf), formula, ["prev_stop_delay", "signalized_intersection_count"], "delta_t_run")
+    return comparable(explain.permutation_importance(stored_observed(spark, sf), formula, MOVED_FEATURES, "delta_t_run", ["trip_id", "stop_sequence"]))

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from fleetlens.functions import clock
 from fleetlens.plans import domain
 from fleetlens.plans.queries_feeds import _ORDER, payload_ticks, tick_log
-from fleetlens.plans.registry import comparable, query
+from fleetlens.plans.queries_silver import MOVED, movement_steps
+from fleetlens.plans.registry import comparable, comparable_sql, query
 from fleetlens.plans.views_sql import with_views
 from fleetlens.session import shared_folder
-from fleetlens.sources import sinks, tables, ticks
-from fleetlens.streaming import feeds
+from fleetlens.sources import sinks, tables, ticks, versions
+from fleetlens.streaming import feeds, keyed
 
 
 def folder(spark, name: str) -> str:
@@ -73,10 +74,22 @@ def _dated_ticks(spark, sf):
 def hours_materialized(spark, sf):
     path, rows = folder(spark, "k6"), _dated_ticks(spark, sf).select("event_id", "source", "date", F.col("hour").alias("hour_utc"))
     early = rows.filter("hour_utc < '12'")
-    sinks.materialize_hours(spark, path, early, sinks.pending_hours(early, None))
+    versions.materialize_hours(spark, path, early, sinks.pending_hours(early, None))
     for _ in range(2):  # once more changes nothing
-        sinks.materialize_hours(spark, path, rows, sinks.pending_hours(rows, early))
-    return spark.read.parquet(path).select("event_id", "source", F.col("date").cast("string"), F.col("hour_utc").cast("string"))
+        versions.materialize_hours(spark, path, rows, sinks.pending_hours(rows, early))
+    return versions.read(spark, path).select("event_id", "source", "date", "hour_utc")
+
+
+@query("k3_versioned_upsert", with_views(["weather"], """SELECT station_name, strftime(b, '%Y-%m-%d %H:%M:%S') AS timestamp_bucket, max_by(temperature_c, (odd, t)) AS temperature_c
+  FROM (SELECT *, "timestamp" AS t, date_trunc('hour', "timestamp") AS b, day("timestamp") % 2 = 1 AS odd FROM weather) GROUP BY 1, 2"""))
+def versioned_upsert(spark, sf):
+    """Even days, then odd days, then the odd days again, each a version of one table."""
+    path = folder(spark, "k3")
+    w = domain.weather(spark, sf).withColumn("timestamp_bucket", clock.hour_bucket(F.col("timestamp")))
+    odd, keys = F.dayofmonth("timestamp") % 2 == 1, ["station_name", "timestamp_bucket"]
+    for rows in (w.filter(~odd), w.filter(odd), w.filter(odd)):
+        out = sinks.upsert(spark, path, rows, keys, [F.col("timestamp")])
+    return comparable(out.select(*keys, "temperature_c"))
 
 
 @query("k7_s13_compacted_ticks", with_views(["events_k"], f"SELECT event_id, source, date, CASE WHEN hour < '12' THEN '00' ELSE '12' END AS hour FROM ({_TICKS})"))
@@ -116,3 +129,42 @@ def changes_over_batches(spark, sf):
         found, state = feeds.changes(rows.filter(third == i), state, ttl_s=10**10)
         out = found if out is None else out.unionByName(found)
     return comparable(out.select("trip_id", "stop_sequence", "feed_timestamp", "rt_arrival_time"))
+
+
+def _arriving(rows, time: str, spark, name: str, parts: int = 3):
+    """The rows as a stream of ``parts`` files in time order, one file a micro-batch, and a folder for its output."""
+    path = folder(spark, name)
+    low, high = rows.agg(F.min(time), F.max(time)).first()
+    part = F.least(F.lit(parts - 1), F.floor((F.col(time) - low) * parts / F.lit(max(1, high - low))))
+    for i in range(parts):
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return stream, path
+
+
+#: Longer than any span of the views, so that nothing expires and a stream must give what one batch gives.
+FOREVER_S = 10**8
+
+
+@query("r1_r2_streamed_changes", with_views(["stop_updates"], f"""SELECT trip_id, stop_sequence::BIGINT AS stop_sequence, feed_timestamp, rt_arrival_time FROM stop_updates
+ QUALIFY lag(rt_arrival_time) OVER (PARTITION BY trip_id, stop_sequence ORDER BY {_ORDER}) IS DISTINCT FROM rt_arrival_time"""))
+def streamed_changes(spark, sf):
+    stream, path = _arriving(domain.stop_updates(spark, sf), "feed_timestamp", spark, "r1")
+    out = keyed.to_table(keyed.changes(stream, ttl_s=FOREVER_S), f"{path}/out", f"{path}/checkpoint")
+    return comparable(out.select("trip_id", "stop_sequence", "feed_timestamp", "rt_arrival_time"))
+
+
+@query("r5_streamed_latest_forecasts", with_views(["stop_updates"], "SELECT trip_id, stop_sequence::BIGINT AS stop_sequence, max(feed_timestamp) AS tick_ts FROM stop_updates GROUP BY 1, 2"))
+def streamed_latest(spark, sf):
+    u = domain.stop_updates(spark, sf).select("trip_id", "stop_sequence", F.col("feed_timestamp").alias("tick_ts"), F.col("arrival_delay_seconds").alias("forecast_val"))
+    stream, path = _arriving(u.withColumn("hour_utc", F.floor(F.col("tick_ts") / F.lit(3600))), "tick_ts", spark, "r5")
+    out = keyed.to_table(keyed.latest_forecasts(stream, ttl_s=FOREVER_S), f"{path}/out", f"{path}/checkpoint")
+    return comparable(out.groupBy("trip_id", "stop_sequence").agg(F.max("tick_ts").alias("tick_ts")))
+
+
+@query("r8_streamed_movement", with_views(["raw_pings"], comparable_sql({k: v for k, v in MOVED.items() if k != "n_ticks_seen"}, "moved"), movement_steps("raw_pings")))
+def streamed_movement(spark, sf):
+    """A run of pings that goes on in the next file keeps its first fix, so only its count of ticks is that of its file."""
+    stream, path = _arriving(domain.raw_pings(spark, sf), "tick_ts", spark, "r8")
+    out = keyed.to_table(keyed.moving_fixes(stream, ttl_s=FOREVER_S), f"{path}/out", f"{path}/checkpoint")
+    return comparable(out.select(*[c for c in MOVED if c != "n_ticks_seen"]))

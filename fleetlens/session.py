@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -31,6 +33,15 @@ def get_spark(app_name: str = "fleetlens", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Python workers find this package where the driver did, unless the cluster ships it otherwise."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, paths) if x)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder the session names; in local runs without one, a scratch folder."""
     folder = spark.conf.get(CHECKPOINT_CONF, None)
@@ -50,6 +61,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as Parquet in a new path of the shared folder, read again: they are computed once, and lost executors cost no more than a read."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Parquet bytes up to which a written side is broadcast; a few times as much in memory.
+BROADCAST_BYTES = 16 << 20
+
+
+def sized(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """A frame read from files, marked for broadcast if the files are small enough; beyond that its joins shuffle."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    total = 0
+    for file in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return F.broadcast(df) if total <= (BROADCAST_BYTES if limit is None else limit) else df
+
+
 _STORED: dict[tuple[str, str], str] = {}
 
 

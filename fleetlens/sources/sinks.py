@@ -64,10 +64,10 @@ def merged(current: DataFrame | None, arrived: DataFrame, keys: list[str], versi
 
 
 def upsert(spark: SparkSession, path: str, arrived: DataFrame, keys: list[str], version: list[Column]) -> DataFrame:
-    """Keyed upsert of a table. The merge is checkpointed before the table it reads is replaced."""
-    rows = checkpointed(merged(read_if_exists(spark, path), arrived, keys, version))
-    rows.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Keyed upsert of a versioned table: the old state stays whole until the new one is."""
+    from fleetlens.sources import versions
+
+    return versions.upsert(spark, path, arrived, keys, version)
 
 
 def pending_hours(available: DataFrame, manifest: DataFrame | None, current_hour: str | None = None, force: bool = False) -> DataFrame:

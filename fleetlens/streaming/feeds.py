@@ -109,15 +109,35 @@ def sealed_hours(stream: DataFrame, late_s: int = 300) -> DataFrame:
         F.col("window.start").alias("hour_start"), "vehicle_type", "fixes")
 
 
+#: Ticks that one row may stand for or expand to at once.
+CHUNK_TICKS = 4096
+
+
+def _spelt_out(gaps: DataFrame, period_s: int) -> DataFrame:
+    """Every tick from ``first`` to ``last``: gaps are cut into parts, and parts again, so that no row holds more than CHUNK_TICKS of them."""
+    for ticks in (CHUNK_TICKS**2, CHUNK_TICKS, 1):
+        step = F.lit(ticks * period_s).cast("long")
+        starts = gaps.select("source", "last", F.explode(F.sequence("first", "last", step)).alias("first"))
+        gaps = starts.withColumn("last", F.least("last", F.col("first") + step - period_s))
+    return gaps.select("source", F.col("first").alias("tick_ts"))
+
+
 def tick_completeness(log: DataFrame, period_s: int) -> DataFrame:
     """Expected ticks of each source between its first and last one, and what became of them.
 
-    Ticks absent from the log are MISSED_TICK. The grid is made per source inside tasks.
+    Gaps and islands: seen ticks on the source's grid look back at the one before, in chunks of time, and what lies between them, or between the last one and
+    the end of the grid, is a gap. Its ticks are MISSED_TICK.
     """
-    grid = log.groupBy("source").agg(F.min("tick_ts").alias("a"), F.max("tick_ts").alias("b")).select(
-        "source", F.explode(F.sequence("a", "b", F.lit(period_s).cast("long"))).alias("tick_ts"))
-    seen = log.groupBy("source", "tick_ts").agg(F.max_by("status", "recorded").alias("status"))
-    return grid.join(seen, ["source", "tick_ts"], "left").withColumn("status", F.coalesce("status", F.lit("MISSED_TICK")))
+    grid = log.groupBy("source").agg(F.min("tick_ts").alias("__a"), F.max("tick_ts").alias("__b"))
+    seen = log.groupBy("source", "tick_ts").agg(F.max_by("status", "recorded").alias("status")).join(grid, "source")
+    seen = seen.filter((F.col("tick_ts") - F.col("__a")) % period_s == 0).select("source", "tick_ts", "status", F.lit(False).alias("__end"))
+    past_end = F.col("__b") - (F.col("__b") - F.col("__a")) % period_s + period_s
+    ends = grid.select("source", past_end.alias("tick_ts"), F.lit(None).cast("string").alias("status"), F.lit(True).alias("__end"))
+    chunk = F.floor(F.col("tick_ts") / F.lit(CHUNK_TICKS * period_s))
+    near = with_neighbours(seen.unionByName(ends), ["source"], [F.col("tick_ts")], chunk, lag={"__prev": F.col("tick_ts")})
+    gaps = near.filter(F.col("tick_ts") - F.col("__prev") > period_s).select("source", (F.col("__prev") + period_s).alias("first"), (F.col("tick_ts") - period_s).alias("last"))
+    missed = _spelt_out(gaps, period_s).withColumn("status", F.lit("MISSED_TICK"))
+    return seen.drop("__end").withColumn("status", F.coalesce("status", F.lit("MISSED_TICK"))).unionByName(missed)
 
 
 def capture_health(log: DataFrame, period_s: int) -> DataFrame:

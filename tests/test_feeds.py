@@ -163,3 +163,13 @@ def test_sealed_hours_stream(spark, tmp_path):
     q.awaitTermination()
     got = [(int(r.hour_start.timestamp()), r.fixes) for r in spark.table("sealed").collect()]
     assert (t0, 2) in got and all(h < t0 + 7200 for h, _ in got)
+
+
+def test_gaps_of_ticks(spark):
+    """Off-grid ticks are no ticks of the grid; gaps longer than a chunk are spelt out whole, the one at the end too."""
+    times = [0, 10, 30, 35, 40, 10 * 3 * feeds.CHUNK_TICKS, 10 * 3 * feeds.CHUNK_TICKS + 45]
+    log = spark.createDataFrame([("a", t, "OK", 1) for t in times] + [("a", 10, "TIMEOUT", 2), ("b", 7, "OK", 1), ("c", 5, None, 1)], "source string, tick_ts long, status string, recorded int")
+    got = sorted((r.source, r.tick_ts, r.status) for r in feeds.tick_completeness(log, 10).collect())
+    seen = {("a", t): "OK" for t in times} | {("a", 10): "TIMEOUT", ("b", 7): "OK"}
+    want = [("a", t, seen.get(("a", t), "MISSED_TICK")) for t in range(0, times[-1] + 1, 10)] + [("b", 7, "OK"), ("c", 5, "MISSED_TICK")]
+    assert got == sorted(want)
