@@ -268,21 +268,21 @@ def extreme(spark, sf):
 
 
 def _network_sql(name: str, source: str, p: str, keys: tuple[int, int]) -> list[tuple[str, str]]:
-    """One run of the row permutation's network over a table with ``at``, ``n``, ``h`` (rows), ``w`` (columns) and the position ``p``."""
+    """One run of the row permutation's network over a table with ``spot``, ``n``, ``h`` (rows), ``w`` (columns) and the position ``p``."""
     def mixed(x: str, key: int) -> str:
         y = f"(({x}) * {explain.MIX_FACTORS[key]} + {explain.MIX_OFFSETS[key]}) % {explain.MIX_PRIME}"
         return f"(({y}) * ({y}) + ({y})) % {explain.MIX_PRIME}"
 
     return [(f"{name}_r", f"SELECT *, ({p}) AS p, (({p}) // w + {mixed(f'({p}) % w', keys[0])}) % h AS r FROM {source}"),
-            (name, f"SELECT at, n, h, w, CASE WHEN p < h*w THEN r*w + (p % w + {mixed('r', keys[1])}) % w ELSE p END AS q FROM {name}_r")]
+            (name, f"SELECT spot, n, h, w, CASE WHEN p < h*w THEN r*w + (p % w + {mixed('r', keys[1])}) % w ELSE p END AS q FROM {name}_r")]
 
 
 MOVED_FEATURES = ["prev_stop_delay", "signalized_intersection_count"]
-PERMUTED = [("ranked", "SELECT *, row_number() OVER (ORDER BY trip_id, stop_sequence) - 1 AS at, count(*) OVER () AS n FROM scored"),
+PERMUTED = [("ranked", "SELECT *, row_number() OVER (ORDER BY trip_id, stop_sequence) - 1 AS spot FROM scored"),
             ("shape", "SELECT n, h, n // h AS w FROM (SELECT n, floor(sqrt(n::DOUBLE))::BIGINT AS h FROM (SELECT count(*) AS n FROM scored))"),
-            ("spots", "SELECT at, ranked.n, h, w FROM ranked, shape"),
-            *_network_sql("once", "spots", "at", (0, 1)), *_network_sql("twice", "once", "(q + n // 2) % n", (2, 3)),
-            ("exchanged", "SELECT a.*, " + ", ".join(f"b.{f} AS new_{i}" for i, f in enumerate(MOVED_FEATURES)) + " FROM ranked a JOIN twice t ON t.at = a.at JOIN ranked b ON b.at = t.q")]
+            ("spots", "SELECT spot, n, h, w FROM ranked, shape"),
+            *_network_sql("once", "spots", "spot", (0, 1)), *_network_sql("twice", "once", "(q + n // 2) % n", (2, 3)),
+            ("exchanged", "SELECT a.*, " + ", ".join(f"b.{f} AS new_{i}" for i, f in enumerate(MOVED_FEATURES)) + " FROM ranked a JOIN twice t ON t.spot = a.spot JOIN ranked b ON b.spot = t.q")]
 
 
 @query("m17_permutation_importance", observed_oracle(" UNION ALL ".join(
