@@ -240,20 +240,15 @@ def groups(spark, sf):
     return comparable(explain.group_attribution(explain.mean_absolute_attribution(c, list(LINEAR))).select("group", "mean_abs"))
 
 
-@query("m18_additivity", observed_oracle("SELECT round(max(abs(" + " + ".join(f"{b}::DOUBLE*{f}" for f, b in LINEAR.items()) + " - (" + " + ".join(f"{b}::DOUBLE*(SELECT avg({f}) FROM mart)" for f, b in LINEAR.items()) + " + " + " + ".join(
-    f"{b}::DOUBLE*({f} - (SELECT avg({f}) FROM mart))" for f, b in LINEAR.items()) + "))), 6) + 0.0 AS max_gap FROM mart"))
-def additivity(spark, sf):
-    m = stored_observed(spark, sf)
-    means = m.agg(*[F.avg(f).alias(f) for f in LINEAR]).first()
-    base = sum(b * means[f] for f, b in LINEAR.items())
+_PARTS = " + ".join(f"{b}::DOUBLE*({f} - (SELECT avg({f}) FROM mart))" for f, b in LINEAR.items())
 
-    def linear(df):
-        total = F.lit(0.0)
-        for f, b in LINEAR.items():
-            total = total + F.col(f) * b
-        return df.withColumn("prediction", total)
 
-    return comparable(explain.additivity_gap(explain.linear_contributions(m, LINEAR), linear, list(LINEAR), base))
+@query("m18_additivity", observed_oracle(f"""SELECT round(max(abs(p - (SELECT avg(p) FROM scored) - ({_PARTS}))), 6) + 0.0 AS max_gap FROM scored""", [SCORED]))
+def additivity(spark, sf):
+    """The formula has an interaction and features beyond the linear ones, so base plus parts miss it by a gap that the data decide."""
+    m = stored_observed(spark, sf)
+    base = formula(m).agg(F.avg("prediction")).first()[0]
+    return comparable(explain.additivity_gap(explain.linear_contributions(m, LINEAR), formula, list(LINEAR), base))
 
 
 @query("m19_representative_case", observed_oracle("""SELECT trip_id, stop_sequence::BIGINT AS stop_sequence, round(p, 4) AS prediction, 15::BIGINT AS wishes_met FROM scored WHERE arrival_delay_seconds BETWEEN 300 AND 480 AND delta_t_run > 15 AND prev_stop_delay >= 240
