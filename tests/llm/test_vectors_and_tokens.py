@@ -178,12 +178,18 @@ def aligned_plainly(rows):
                                for doc_id, n_a, n_b, groups, links in found)
 
 
-@pytest.mark.parametrize("heavy", [200_000, 300, 0])
-def test_alignment(odd, docs, heavy):
+@pytest.fixture(scope="module")
+def to_align(odd, docs):
     both = odd.select("doc_id", "text", "pairs", "n_a", "row").unionByName(docs.select("doc_id", "text"), allowMissingColumns=True)
+    return both, aligned_plainly([tuple(r) for r in both.select("doc_id", "text").collect()])
+
+
+@pytest.mark.parametrize("heavy", [200_000, 300, 0])
+def test_alignment(to_align, heavy):
+    both, want = to_align
     got = alignment.alignments(both, heavy=heavy)
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    assert collections.Counter(map(tuple, got.collect())) == aligned_plainly([tuple(r) for r in both.select("doc_id", "text").collect()])
+    assert collections.Counter(map(tuple, got.collect())) == want
 
 
 def test_alignment_of_nothing(odd):
