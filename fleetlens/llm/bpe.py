@@ -9,7 +9,8 @@ positions descend from one boundary, the tokens before it are stable and leave;
 
 Decoding. Ids become bytes by table; an incremental UTF-8 state machine turns bytes into text chunk by chunk, malformed ones into U+FFFD.
 
-Pieces repeat, so a bounded memo keeps their ids; when it is full it starts anew, and results do not depend on it.
+Pieces repeat, so a bounded memo of two generations keeps their ids: when the younger is full the older goes, and pieces in use come over again. A worker keeps
+it from task to task; results do not depend on it.
 
 Null and empty texts have no tokens. Every input row gives one row, repeated rows too; a null doc_id stays null; other columns are
 ignored or, in ``with_token_counts``, kept. An empty table gives no rows.
@@ -24,6 +25,7 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import public_tokenizers
@@ -133,6 +135,37 @@ class Transducer:
             else:
                 last.append(None)  # cannot happen while every byte is a token
 
+    def whole(self, text: bytes) -> list[int]:
+        """Ids of a piece no longer than the lookahead: nothing can leave before its end, so its positions are held in one pass."""
+        ids, right, neighbours = self.v.ids, self.v._right, self.v.neighbours
+        found = ids.get(text)
+        if found is not None:  # a token that reaches back to the start needs no pair test
+            return [found]
+        last: list[bytes | None] = [b""]
+        hold = last.append
+        for end in range(1, len(text) + 1):
+            start = end
+            while start:
+                start -= 1
+                token = text[start:end]
+                if token in ids:
+                    if not start:
+                        break
+                    before = last[start]
+                    fits = right.get((before, token))
+                    if fits or fits is None and before is not None and neighbours(before, token):
+                        break
+            else:
+                token = None  # cannot happen while every byte is a token
+            hold(token)
+        out, at = [], len(text)
+        while at:
+            token = last[at]
+            out.append(ids[token])
+            at -= len(token)
+        out.reverse()
+        return out
+
     def _chain(self, at: int) -> list[bytes]:
         out = []
         while at > 0:
@@ -164,17 +197,22 @@ class Transducer:
 
 
 class Encoder(dict):
-    """Memo from piece to its ids as little-endian 32-bit integers, filled by the transducer."""
+    """Memo from piece to its ids as little-endian 32-bit integers, filled by the transducer; at most ``size`` pieces in both generations."""
 
     def __init__(self, vocabulary: Vocabulary, size: int = MEMO):
         super().__init__()
-        self.v, self.size, self.machine = vocabulary, size, Transducer(vocabulary)
+        self.v, self.size, self.machine, self.older = vocabulary, size, Transducer(vocabulary), {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("I", self.machine.feed(piece.encode("utf-8", "replace")))
-        ids.extend(self.machine.finish())
-        packed = ids.tobytes()
-        if len(self) >= self.size:
+        packed = self.older.get(piece)
+        if packed is None:
+            data = piece.encode("utf-8", "replace")
+            if len(data) <= self.machine.reach:
+                packed = array("I", self.machine.whole(data)).tobytes()
+            else:
+                packed = array("I", self.machine.feed(data) + self.machine.finish()).tobytes()
+        if len(self) >= self.size // 2:
+            self.older = dict(self)
             self.clear()
         if len(piece) <= 64:
             self[piece] = packed
@@ -207,6 +245,12 @@ class Encoder(dict):
             yield b"".join(map(self.__getitem__, pieces))
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(vocabulary: str) -> Encoder:
+    """The encoder of this Python worker."""
+    return Encoder(Vocabulary(vocabulary))
+
+
 class Decoder:
     """Ids to text, chunk by chunk."""
 
@@ -239,7 +283,7 @@ RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def token_digests(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Per row: the number of tokens and digests of ids and decoded text."""
     def run(batches):
-        encoder = Encoder(Vocabulary(vocabulary))
+        encoder = worker_encoder(vocabulary)
         for pdf in batches:
             rows = [(doc_id, *round_trip(encoder, body)) for doc_id, body in rows_of([pdf], "doc_id", "text")]
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
@@ -250,7 +294,7 @@ def token_digests(docs: DataFrame, text: str = "text", vocabulary: str = VOCABUL
 def encoded(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids): the token ids of every row."""
     def run(batches):
-        encoder = Encoder(Vocabulary(vocabulary))
+        encoder = worker_encoder(vocabulary)
         for pdf in batches:
             ids = [memoryview(b"".join(encoder.stream(body))).cast("I").tolist() for body in pdf.text]
             yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "ids": ids})
@@ -278,7 +322,7 @@ def with_token_counts(docs: DataFrame, name: str = "n_tokens", text: str = "text
 
     @F.pandas_udf("struct<n long, same boolean>")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(Vocabulary(vocabulary))
+        encoder = worker_encoder(vocabulary)
         for texts in batches:
             out = []
             for body in texts:
