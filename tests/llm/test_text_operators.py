@@ -108,6 +108,76 @@ def test_added_spans_keep_base_and_do_not_overlap(spark, docs):
         assert len(spans) == r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_added
 
 
+def disguised_documents():
+    """Texts with base spans for training, texts with one disguised span each, and clean prose: rows, and the planted (doc_id, kind, start, end)."""
+    rng = random.Random(3)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+
+    def card():
+        body = "4" + number(14)
+        return body + next(d for d in "0123456789" if pii.luhn(body + d))
+
+    fours = lambda c, by: by.join(c[i:i + 4] for i in range(0, 16, 4))
+    octets = lambda by: by.join(str(rng.randint(1, 255)) for _ in range(4))
+    plain = {"email": lambda: f"mail {word()}.{word()}@{word()}.example.com", "ip": lambda: f"from host {octets('.')}", "card": lambda: f"paid by card {fours(card(), ' ')}", "phone": lambda: f"call +1 ({number(3)}) 555-{number(4)}"}
+    hidden = {"email": lambda: ("mail ", f"{word()}.{word()} at {word()} dot example dot com"), "ip": lambda: ("from host ", octets("[.]")), "card": lambda: ("paid by card ", fours(card(), ".")), "phone": lambda: ("call ", f"({number(3)}) 555-{number(4)}")}
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows, planted = [], set()
+    for i in range(400):
+        rows.append((i, f"{prose(9)} {plain[pii.KINDS[i % 4]]()} {prose(7)}"))
+    for i in range(1000, 1200):
+        kind = pii.KINDS[i % 4]
+        cue, span = hidden[kind]()
+        lead = f"{prose(6)} {cue}"
+        rows.append((i, f"{lead}{span}, {prose(5)}"))
+        planted.add((i, kind, len(lead), len(lead) + len(span)))
+    for i in range(2000, 2100):
+        clean = (f"They met at noon.Then {prose(3)}", f"order {number(12)} of {prose(3)}", f"on 2024-01-15 103000 {prose(3)}", f"build 300[.]1[.]2[.]3 of {prose(4)}", prose(12))
+        rows.append((i, clean[i % 5]))
+    return rows, planted
+
+
+def plain_selection(candidates, trees):
+    """Added spans by one loop over trees and nodes."""
+    scored = []
+    for kind, s, e, x in candidates:
+        margin = 0.0
+        for nodes, weight in zip(trees.nodes, trees.weights, strict=True):
+            at = 0
+            while nodes[at][0] >= 0:
+                at = int(nodes[at][2] if x[int(nodes[at][0])] <= nodes[at][1] else nodes[at][3])
+            margin += weight * nodes[at][4]
+        if kind in trees.thresholds and margin >= trees.thresholds[kind]:
+            scored.append((-margin, s, pii.KINDS.index(kind), e))
+    out = []
+    for _, s, k, e in sorted(scored):
+        if all(e <= a or b <= s for _, a, b in out):
+            out.append((pii.KINDS[k], s, e))
+    return out
+
+
+def test_planted_disguises_are_found_and_selected_as_the_trees_say(spark):
+    rows, planted = disguised_documents()
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    trees = pii.train(found)
+    got = {r.doc_id: {(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)} for r in pii.select(found, trees).collect()}
+    for kind in pii.KINDS:
+        own = [p for p in planted if p[1] == kind]
+        assert sum(p[1:] in got[p[0]] for p in own) >= 0.9 * len(own), (kind, trees.thresholds)
+    assert not any(got[d] for d in got if d >= 2000)
+    for r in found.collect():
+        base = [(b.kind, b.s, b.e) for b in r.base]
+        assert got[r.doc_id] == set(base + plain_selection([(c.kind, c.s, c.e, c.x) for c in r.candidates], trees))
+
+
+def test_long_names_and_domains_are_whole_candidates():
+    name, domain = "n" * 200, " dot ".join(["d" * 100] * 12)
+    assert pii.proposals(f"x {name} at {domain} dot org.") == {("email", 2, 2 + 200 + 4 + len(domain) + 8)}
+    for text in (" at a.b" * 20_000, "a at " * 20_000, "a dot " * 20_000, "1[.]" * 20_000):
+        pii.proposals(text)
+
+
 def test_copies_of_one_vector_do_not_fill_the_sample(spark):
     def example(i):
         y = float(i % 2)
