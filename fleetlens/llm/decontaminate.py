@@ -33,11 +33,12 @@ SEED, WINDOW, LEAST, RUN = 3, 8, 5, 25
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "mi", "mile", "miles", "metre", "metres", "meter", "meters", "mg", "g", "kg", "t", "lb", "lbs", "oz", "ml", "l", "litre", "litres", "liter", "liters",
          "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years",
          "km/h", "mph", "kmh", "usd", "eur", "gbp", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degrees", "kb", "mb", "gb", "tb", "w", "kw", "kwh", "v", "hz")
-NUMBER = r"(?<![\p{L}\p{N}])[+-]?[$€£]?[0-9]+(?:[.,:/][0-9]+)*(?![\p{N}])"
+#: The lookaheads in front only spare most places the looks behind.
+NUMBER = r"(?=[-+$€£0-9])(?<![\p{L}\p{N}])[+-]?[$€£]?[0-9]++(?:[.,:/][0-9]++)*+(?![\p{N}])"
 SPACES = r"[\s\p{Z}]{2,}|[\t-\r\x{A0}\x{2028}\x{2029}]"
-NAME = r"(?<=[\p{Ll},;] )\p{Lu}[\p{L}'’-]+"
+NAME = r"(?=\p{Lu})(?<=[\p{Ll},;] )\p{Lu}[\p{L}'’-]+"
 #: Other capitalised words, not in capitals throughout: names or not.
-CAPITAL = r"(?<![\p{L}\p{N}'’⟨:-])(?<![0-9] )\p{Lu}(?=[\p{L}'’-]*\p{Ll})[\p{L}'’-]+"
+CAPITAL = r"(?=\p{Lu})(?<![\p{L}\p{N}'’⟨:-])(?<![0-9] )\p{Lu}(?=[\p{L}'’-]*\p{Ll})[\p{L}'’-]+"
 
 
 def template(text: Column, values: bool = False) -> Column:
@@ -47,14 +48,18 @@ def template(text: Column, values: bool = False) -> Column:
     plain = F.regexp_replace(plain, SPACES, " ")
     named = F.regexp_replace(F.regexp_replace(plain, NAME, slot("name", "$0")), CAPITAL, slot("cap", "$0") if values else slot("name", ""))
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    numbers = F.regexp_replace(F.regexp_replace(named, rf"({NUMBER}) ?(%|(?i:{units})(?![\p{{L}}\p{{N}}]))", f" {slot('num', '$1')} {slot('unit', '$2')} "), rf"(?<!:){NUMBER}(?!⟩)", f" {slot('num', '$0')} ")
+    numbers = F.regexp_replace(F.regexp_replace(named, rf"({NUMBER}) ?(%|(?i:{units})(?![\p{{L}}\p{{N}}]))", f" {slot('num', '$1')} {slot('unit', '$2')} "), rf"(?=[-+$€£0-9])(?<!:){NUMBER}(?!⟩)", f" {slot('num', '$0')} ")
     slotted = F.when(plain.rlike("[0-9]"), numbers).otherwise(named)
     spaced = F.regexp_replace(F.lower(slotted), r"(⟨[^⟩]*⟩)|[^\p{L}\p{N}⟨]+", " $1 ")
-    return F.filter(F.split(spaced, " +"), lambda w: w != "")
+    return F.array_remove(F.split(spaced, " +"), "")
 
 
 def _bare(words: Column) -> Column:
-    return F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, "^⟨cap:", "⟨name:"), "^⟨(name|num|unit):.*⟩$", "⟨$1⟩"))
+    return F.transform(words, _bare_word)
+
+
+def _bare_word(word: Column) -> Column:
+    return F.when(word.startswith("⟨"), F.regexp_replace(F.regexp_replace(word, "^⟨cap:", "⟨name:"), "^⟨(name|num|unit):.*⟩$", "⟨$1⟩")).otherwise(word)
 
 
 def _said(word: Column) -> Column:
@@ -62,19 +67,23 @@ def _said(word: Column) -> Column:
     return F.when(word.rlike("^⟨(cap|name):"), F.rtrim(F.substring_index(word, ":", -1), F.lit("⟩"))).otherwise(word)
 
 
-def _seeds(rows: DataFrame, keep: str, place: str) -> DataFrame:
-    """(keep, place, hash): hashes of the windows of SEED words at every place."""
-    last = F.size("words") - SEED + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last))
-    return rows.select(keep, F.explode(F.transform(starts, lambda i: F.struct(i.alias(place), F.slice("words", i, SEED).alias("seed")))).alias("w")).select(keep, f"w.{place}", F.col("w.seed").alias("seed"))
+def _windows(rows: DataFrame, keep: str, place: str, values: Column) -> DataFrame:
+    """(keep, place, first, second, third): SEED neighbouring values at every place."""
+    side = rows.select(keep, values.alias("first"))
+    size = F.greatest(F.size("first"), F.lit(0))
+    side = side.select(keep, "first", F.slice("first", 2, size).alias("second"), F.slice("first", 3, size).alias("third"))
+    return side.select(keep, F.posexplode(F.arrays_zip("first", "second", "third")).alias(place, "w")).select(keep, place, "w.*").filter("third IS NOT NULL")
 
 
 def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, shift): where seeds of both agree. ``docs`` has (doc_id, words), ``items`` (item_id, words)."""
-    hashed = F.xxhash64("seed").alias("hash")
-    own = _seeds(items.filter(F.size("words") >= LEAST), "item_id", "item_at").filter(F.exists("seed", lambda w: ~w.startswith("⟨")))
-    side = small_or_shuffled(stored(own.select("item_id", "item_at", hashed), "item-seeds"))
-    return _seeds(docs, "doc_id", "doc_at").select("doc_id", "doc_at", hashed).join(side, "hash").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
+    seed = ("first", "second", "third")
+    literal = F.array(*seed)
+    own = _windows(items.filter(F.size("words") >= LEAST), "item_id", "item_at", _bare(F.col("words"))).filter(F.exists(literal, lambda w: ~w.startswith("⟨")))
+    side = small_or_shuffled(stored(own.select("item_id", "item_at", F.xxhash64(*[F.xxhash64(c) for c in seed]).alias("hash")), "item-seeds"))
+    # words are hashed once each, seeds from the hashes of neighbours
+    theirs = _windows(docs, "doc_id", "doc_at", F.transform("words", lambda w: F.xxhash64(_bare_word(w))))
+    return theirs.select("doc_id", "doc_at", F.xxhash64(*seed).alias("hash")).join(side, "hash").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
 
 
 def _runs(flags: Column, length: Column | int) -> Column:
@@ -88,9 +97,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", leas
     items = stored(benchmark.select(F.col("item_id").cast("long"), template(text_of("text"), values=True).alias("full")).filter("item_id IS NOT NULL").dropDuplicates(["item_id"])
                    .withColumn("words", _bare(F.col("full"))), "items")
     rows = docs.select(F.col("doc_id").cast("long"), text_of(text).alias("text")).filter("doc_id IS NOT NULL")
-    found = stored(alignments(rows.select("doc_id", template(F.col("text")).alias("words")), items), "alignments")
+    # templates are made once and kept as lines: no word holds a space
+    lines = stored(rows.select("doc_id", F.array_join(template(F.col("text"), values=True), " ").alias("line")), "template-lines")
+    said = F.split("line", " ")
+    found = stored(alignments(lines.select("doc_id", said.alias("words")), items), "alignments")
     wanted = small_or_shuffled(stored(found.select("doc_id").distinct(), "hit-documents"))
-    texts = rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", template(F.col("text"), values=True).alias("theirs"))
+    texts = lines.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", said.alias("theirs"))
     # one row a pair of document and item, so that a text is not copied for each of its alignments
     both = found.groupBy("doc_id", "item_id").agg(F.collect_list("shift").alias("shifts")).join(texts, "doc_id").join(small_or_shuffled(items), "item_id")
     aligned = both.select("doc_id", "item_id", "words", "full", F.explode(F.transform("shifts", lambda s: F.struct(s.alias("shift"), F.zip_with(
