@@ -122,6 +122,31 @@ def model_comparison(spark, sf):
     return comparable(table.select("model", "cohort", "mae", "rmse"))
 
 
+BOARD = ("board", "SELECT m, c, p, y FROM (SELECT 'formula' AS m, p, y, transit_cohort AS tc FROM scored UNION ALL SELECT 'previous', prev_stop_delay::DOUBLE, y, transit_cohort FROM scored) g, LATERAL (SELECT unnest(['all', tc]) AS c) WHERE p IS NOT NULL AND y IS NOT NULL")
+
+
+@query("m9_scoreboard", observed_oracle(f"""SELECT m AS model, c AS cohort, count(*) AS rows, round_even(avg(abs(p-y)),4) AS mae, round_even(sqrt(avg(pow(p-y,2))),4) AS rmse, round_even(1 - sum(pow(p-y,2))/(var_pop(y)*count(*)),4) AS r2,
+  round_even(sum(abs(p-y))/sum(abs(y))*100,4) AS wape, round_even(median(round(abs(p-y)*1000))/1000,4) AS medae, round_even(max(abs(p-y)),4) AS max_error, round_even(corr(y,p),4) AS pearson_r
+  FROM board WHERE c IN ('all', {', '.join(repr(c) for c in COHORTS)}) GROUP BY 1, 2""", [SCORED, BOARD]))
+def scoreboard(spark, sf):
+    m = formula(stored_observed(spark, sf)).withColumn("previous", F.col("prev_stop_delay").cast("double"))
+    return comparable(metrics.scoreboard(m, "delta_t_run", {"formula": "prediction", "previous": "previous"}, cohorts=COHORTS))
+
+
+def benchmark_rows(spark, sf):
+    """Test rows away from terminals with the predictions of the panel model and of the trees, both fitted on the train block."""
+    rows = metrics.without_terminals(labelled(spark, sf))
+    train, val, test = (rows.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test"))
+    effects = panel.fit(train, BENCHMARK)
+    trees = boosting.BoostedTrees(rounds=5, depth=3).fit(train, val, BENCHMARK)
+    return trees.predict(effects.predict(test, "panel")).withColumnRenamed("prediction", "trees").withColumn("zero", F.lit(0.0))
+
+
+@query("m9_benchmark_run")
+def benchmark_run(spark, sf):
+    return metrics.scoreboard(benchmark_rows(spark, sf), "delta_t_run", {m: m for m in ("panel", "trees", "zero")}, cohorts=COHORTS)
+
+
 ALE = [("vals", "SELECT *, segment_length_meters::DOUBLE AS v FROM mart"), ("tails", "SELECT quantile_cont(v, 0.01) AS a, quantile_cont(v, 0.99) AS b FROM vals"),
     ("borders", f"SELECT row_number() OVER (ORDER BY g) - 1 AS k, g FROM (SELECT DISTINCT unnest(quantile_cont(greatest(a, least(b, v)), {[i / 10 for i in range(11)]})) AS g FROM vals, tails)"),
     ("bins", "SELECT a.k, a.g AS lo, b.g AS hi, b.k = (SELECT max(k) FROM borders) AS is_last FROM borders a JOIN borders b ON b.k = a.k + 1"),

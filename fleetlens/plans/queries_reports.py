@@ -176,3 +176,26 @@ view_report("j23_link_weather_preview", ["stop_updates", "road_links", "weather"
  ORDER BY trip_id, route_id, stop_id, delay_s, arrival_time, temperature_c NULLS FIRST, precipitation_mm NULLS FIRST, corridor_name NULLS FIRST, segment_length_meters, signals, dedicated_row LIMIT 10""",
             lambda s, sf: reports.link_weather_preview(
                 domain.stop_updates(s, sf), domain.road_links(s, sf), hourly_rollup(domain.weather(s, sf))))
+
+
+_DAYS = [("days", " UNION ALL ".join(f"SELECT '{n}' AS source, {d} AS day, count(*) AS n FROM {v} WHERE {d} IS NOT NULL GROUP BY 2" for n, d, v in (
+    ("updates", "DATE '1970-01-01' + floor(feed_timestamp/86400)::INTEGER", "stop_updates"), ("events", "DATE '1970-01-01' + floor(actual_arrival_utc/86400)::INTEGER", "stop_events"),
+    ("fixes", "DATE '1970-01-01' + floor(gps_timestamp_utc/86400)::INTEGER", "vehicle_fixes"), ("weather", '"timestamp"::DATE', "weather"), ("mart", "arrival_ts::DATE", "mart")))),
+    ("ends", """SELECT d.source, d.day AS first_day, (SELECT min(e.day) FROM days e WHERE e.source = d.source AND e.day >= d.day AND NOT EXISTS (SELECT 1 FROM days f WHERE f.source = e.source AND f.day = e.day + 1)) AS last_day
+      FROM days d WHERE NOT EXISTS (SELECT 1 FROM days f WHERE f.source = d.source AND f.day = d.day - 1)"""),
+    ("full_days", "SELECT day FROM days GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT source) FROM days)"),
+    ("full_runs", """SELECT d.day AS a, (SELECT min(e.day) FROM full_days e WHERE e.day >= d.day AND e.day + 1 NOT IN (SELECT day FROM full_days)) AS b FROM full_days d WHERE d.day - 1 NOT IN (SELECT day FROM full_days)"""),
+    ("best", "SELECT a, b FROM full_runs ORDER BY b - a DESC, a LIMIT 1"),
+    ("bounds", "SELECT source, min(day) AS lo, max(day) AS hi, count(*) AS k, sum(n)::BIGINT AS n FROM days GROUP BY 1"),
+    ("shared", "SELECT max(lo) AS lo, min(hi) AS hi FROM bounds")]
+
+
+@query("a23_study_window", with_views([*OBSERVED_VIEWS, "stop_updates", "stop_events", "vehicle_fixes", "weather"], """SELECT source, x.lo::VARCHAR AS first_day, x.hi::VARCHAR AS last_day, k AS n_days, (SELECT count(*) FROM ends WHERE ends.source = x.source) AS n_spans,
+ n AS rows, (x.hi - x.lo + 1 - k)::BIGINT AS missing_days, greatest(0, (SELECT hi FROM bounds WHERE source = 'updates') - x.hi)::BIGINT AS lag_days, shared.lo::VARCHAR AS common_start, shared.hi::VARCHAR AS common_end, shared.lo <= shared.hi AS is_ready,
+ CASE WHEN shared.lo <= shared.hi THEN (SELECT a FROM best) END::VARCHAR AS recommended_start, CASE WHEN shared.lo <= shared.hi THEN (SELECT b FROM best) END::VARCHAR AS recommended_end FROM bounds x, shared""", [*OBSERVED_MART_STEPS, *_DAYS]))
+def study_window(spark, sf):
+    day = lambda c: F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(c) / 86400).cast("int"))
+    days = reports.source_days({
+        "updates": (domain.stop_updates(spark, sf), day("feed_timestamp")), "events": (domain.stop_events(spark, sf), day("actual_arrival_utc")), "fixes": (domain.vehicle_fixes(spark, sf), day("gps_timestamp_utc")),
+        "weather": (domain.weather(spark, sf), F.to_date("timestamp")), "mart": (stored_observed(spark, sf), F.to_date("arrival_ts"))})
+    return comparable(reports.study_window(days, "updates"))

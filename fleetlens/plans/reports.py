@@ -373,3 +373,37 @@ def source_coverage(sources: dict[str, tuple[DataFrame, str, str]]) -> DataFrame
     every = Window.partitionBy()
     return out.withColumns({"overlap_start": F.max("first_epoch").over(every), "overlap_end": F.min("last_epoch").over(every)}).withColumn(
         "is_ready", F.col("overlap_start") <= F.col("overlap_end"))
+
+
+def source_days(sources: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
+    """(source, day, rows): how many rows each source holds per day; rows without a day are left out."""
+    out = None
+    for name, (df, day) in sources.items():
+        row = df.select(day.alias("day")).filter("day IS NOT NULL").groupBy("day").agg(rows_count("rows")).select(F.lit(name).alias("source"), "day", "rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def day_spans(days: DataFrame, key: str = "source") -> DataFrame:
+    """(key, first_day, last_day, days): runs of neighbouring days. ``days`` holds each (key, day) once."""
+    island = F.date_sub("day", F.row_number().over(Window.partitionBy(key).orderBy("day")))
+    return days.select(key, "day", island.alias("__island")).groupBy(key, "__island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), rows_count("days")).drop("__island")
+
+
+def study_window(days: DataFrame, lead: str) -> DataFrame:
+    """One row per source: its days, gaps and how far it lags behind ``lead``; the window from the last start to the first end, whether it is there at all,
+    and the longest run of days that every source holds (of equal runs the earliest). A window that is not there recommends nothing.
+
+    Only days per source are left after ``source_days``, so the windows here are small.
+    """
+    spans = day_spans(days).groupBy("source").agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"), F.sum("days").alias("n_days"), rows_count("n_spans"))
+    rows = days.groupBy("source").agg(F.sum("rows").alias("rows"))
+    n = days.agg(F.countDistinct("source").alias("__n"))
+    shared = days.groupBy("day").agg(F.countDistinct("source").alias("__k")).join(n).filter("__k = __n").select(F.lit("all").alias("source"), "day")  # one row of counts
+    best = day_spans(shared).agg(F.max_by(F.struct("first_day", "last_day"), F.struct("days", -F.unix_date("first_day"))).alias("__best"))
+    every = Window.partitionBy()
+    lead_end = F.max(F.when(F.col("source") == lead, F.col("last_day"))).over(every)
+    out = spans.join(rows, "source").withColumns({
+        "missing_days": F.datediff("last_day", "first_day") + 1 - F.col("n_days"), "lag_days": F.greatest(F.lit(0), F.datediff(lead_end, "last_day")),
+        "common_start": F.max("first_day").over(every), "common_end": F.min("last_day").over(every)}).withColumn("is_ready", F.col("common_start") <= F.col("common_end"))
+    return out.join(best).withColumns({"recommended_start": F.when(F.col("is_ready"), F.col("__best.first_day")), "recommended_end": F.when(F.col("is_ready"), F.col("__best.last_day"))}).drop("__best")
