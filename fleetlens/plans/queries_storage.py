@@ -131,15 +131,16 @@ def changes_over_batches(spark, sf):
     return comparable(out.select("trip_id", "stop_sequence", "feed_timestamp", "rt_arrival_time"))
 
 
-def _arriving(rows, time: str, spark, name: str, parts: int = 3):
-    """The rows as a stream of ``parts`` files in time order, one file a micro-batch, and a folder for its output."""
+def _streamed(rows, time: str, spark, name: str, make, parts: int = 3):
+    """The output table of a stream that is run, stopped and started again as the rows arrive in ``parts`` lots in time order."""
     path = folder(spark, name)
     low, high = rows.agg(F.min(time), F.max(time)).first()
     part = F.least(F.lit(parts - 1), F.floor((F.col(time) - low) * parts / F.lit(max(1, high - low))))
     for i in range(parts):
-        rows.filter(part == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    return stream, path
+        rows.filter(part == i).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        out = keyed.to_table(make(stream), f"{path}/out", f"{path}/checkpoint")
+    return out
 
 
 #: Longer than any span of the views, so that nothing expires and a stream must give what one batch gives.
@@ -149,22 +150,19 @@ FOREVER_S = 10**8
 @query("r1_r2_streamed_changes", with_views(["stop_updates"], f"""SELECT trip_id, stop_sequence::BIGINT AS stop_sequence, feed_timestamp, rt_arrival_time FROM stop_updates
  QUALIFY lag(rt_arrival_time) OVER (PARTITION BY trip_id, stop_sequence ORDER BY {_ORDER}) IS DISTINCT FROM rt_arrival_time"""))
 def streamed_changes(spark, sf):
-    stream, path = _arriving(domain.stop_updates(spark, sf), "feed_timestamp", spark, "r1")
-    out = keyed.to_table(keyed.changes(stream, ttl_s=FOREVER_S), f"{path}/out", f"{path}/checkpoint")
+    out = _streamed(domain.stop_updates(spark, sf), "feed_timestamp", spark, "r1", lambda s: keyed.changes(s, ttl_s=FOREVER_S))
     return comparable(out.select("trip_id", "stop_sequence", "feed_timestamp", "rt_arrival_time"))
 
 
 @query("r5_streamed_latest_forecasts", with_views(["stop_updates"], "SELECT trip_id, stop_sequence::BIGINT AS stop_sequence, max(feed_timestamp) AS tick_ts FROM stop_updates GROUP BY 1, 2"))
 def streamed_latest(spark, sf):
     u = domain.stop_updates(spark, sf).select("trip_id", "stop_sequence", F.col("feed_timestamp").alias("tick_ts"), F.col("arrival_delay_seconds").alias("forecast_val"))
-    stream, path = _arriving(u.withColumn("hour_utc", F.floor(F.col("tick_ts") / F.lit(3600))), "tick_ts", spark, "r5")
-    out = keyed.to_table(keyed.latest_forecasts(stream, ttl_s=FOREVER_S), f"{path}/out", f"{path}/checkpoint")
+    out = _streamed(u.withColumn("hour_utc", F.floor(F.col("tick_ts") / F.lit(3600))), "tick_ts", spark, "r5", lambda s: keyed.latest_forecasts(s, ttl_s=FOREVER_S))
     return comparable(out.groupBy("trip_id", "stop_sequence").agg(F.max("tick_ts").alias("tick_ts")))
 
 
 @query("r8_streamed_movement", with_views(["raw_pings"], comparable_sql({k: v for k, v in MOVED.items() if k != "n_ticks_seen"}, "moved"), movement_steps("raw_pings")))
 def streamed_movement(spark, sf):
     """A run of pings that goes on in the next file keeps its first fix, so only its count of ticks is that of its file."""
-    stream, path = _arriving(domain.raw_pings(spark, sf), "tick_ts", spark, "r8")
-    out = keyed.to_table(keyed.moving_fixes(stream, ttl_s=FOREVER_S), f"{path}/out", f"{path}/checkpoint")
+    out = _streamed(domain.raw_pings(spark, sf), "tick_ts", spark, "r8", lambda s: keyed.moving_fixes(s, ttl_s=FOREVER_S))
     return comparable(out.select(*[c for c in MOVED if c != "n_ticks_seen"]))

@@ -1,7 +1,8 @@
 """Streams with keyed state: change-only records, latest forecasts, kinematics.
 
-Each is a stateful processor over one entity (a trip, a vehicle day): a micro-batch reads and writes the state of its own entities only, which Spark keeps in its
-state store with the query's checkpoint, so a repeated batch starts from the state of the one before. State lives in event time: an entity not
+Each is a stateful processor over one entity (a vehicle day) or a bucket of them (trips, which are many and small): a micro-batch reads and writes the state of its
+own keys only, which Spark keeps in its state store with the query's checkpoint, so a repeated batch starts from the state of the one before. A bucket's state is one
+Arrow table and its steps are column operations, as a Python call and a round trip to the store a trip cost more than the work itself. State lives in event time: an entity not
 heard of for ``ttl_s`` is forgotten by a timer once the watermark passes. Rows that are more than ``ttl_s`` older than the newest come too late and are left
 out, as the state that would judge them may be gone.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,54 +61,98 @@ class _Entity(StatefulProcessor):
         pass
 
 
-class _Stops(_Entity):
-    """A trip's stops as parallel lists: sequence number, last value (as text) and last time."""
+#: Buckets of trips: the entities of one are held in memory at once.
+BUCKETS = 1024
+STOP = ["trip_id", "stop_sequence"]
 
-    schema = T.StructType([T.StructField("stops", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.StringType())), T.StructField("times", T.ArrayType(T.LongType()))])
 
-    def newest(self, state) -> int:
-        return max(state[2])
+class _Stops(StatefulProcessor):
+    """The stops of a bucket of trips: last value (as text) and last time of each; a trip is forgotten as a whole, ``ttl_s`` after its newest time."""
+
+    schema = T.StructType([T.StructField("stops", T.BinaryType())])
+    entries = pa.schema([("trip_id", pa.string()), ("stop_sequence", pa.int64()), ("value", pa.string()), ("seen", pa.int64())])
+    columns: list[str]
+    order: list[str]
+    time: str
+    ttl_s: int
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("trips", self.schema)
 
-    def _known(self, state) -> dict:
-        return {} if state is None else {s: (v, t) for s, v, t in zip(*state, strict=True)}
+    def _known(self) -> pd.DataFrame:
+        if not self.state.exists():
+            return self.entries.empty_table().to_pandas()
+        with pa.ipc.open_stream(self.state.get()[0]) as file:
+            return file.read_pandas()
 
-    def _kept(self, known: dict) -> tuple:
-        fresh = max(t for _, t in known.values()) - self.ttl_s
-        left = [(s, v, t) for s, (v, t) in sorted(known.items()) if t >= fresh]
-        return [s for s, _, _ in left], [v for _, v, _ in left], [t for _, _, t in left]
+    def _keep(self, known: pd.DataFrame) -> None:
+        """Store the entries, and wake when the first trip is due."""
+        if not len(known):
+            self.state.clear()
+            return
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_pandas(known, schema=self.entries, preserve_index=False)
+        with pa.ipc.new_stream(sink, self.entries) as file:
+            file.write_table(table)
+        self.state.update((sink.getvalue().to_pybytes(),))
+        self.handle.registerTimer((int(known.groupby("trip_id", dropna=False)["seen"].max().min()) + self.ttl_s) * 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch = batch.sort_values(self.order, kind="stable", na_position="last", ignore_index=True)
+        known = self._known()
+        keep, newest = self.step(batch, known)
+        touched = newest["trip_id"].unique()
+        after = pd.concat([known, newest], ignore_index=True).drop_duplicates(STOP, keep="last")
+        # a trip that was heard of lets go of stops that are much older than its newest
+        old = after["trip_id"].isin(touched) & (after["seen"] < after.groupby("trip_id", dropna=False)["seen"].transform("max") - self.ttl_s)
+        self._keep(after[~old])
+        if len(keep):
+            yield batch.iloc[keep][self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = self._known()
+        if len(known):
+            newest = known.groupby("trip_id", dropna=False)["seen"].transform("max")
+            self._keep(known[newest + self.ttl_s > expiredTimerInfo.getExpiryTimeInMs() // 1000])
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 class ChangedValues(_Stops):
     """Rows whose value differs from the one before at the same stop."""
 
-    def __init__(self, value: str, time: str, order: list[str], ttl_s: int):
-        self.value, self.time, self.order, self.ttl_s = value, time, order, ttl_s
+    def __init__(self, columns: list[str], value: str, time: str, order: list[str], ttl_s: int):
+        self.columns, self.value, self.time, self.order, self.ttl_s = columns, value, time, order, ttl_s
 
-    def step(self, batch: pd.DataFrame, state):
-        known, keep = self._known(state), []
+    def step(self, batch: pd.DataFrame, known: pd.DataFrame):
         # a column of longs with a null among them arrives as doubles
         texts = [None if pd.isna(v) else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v) for v in batch[self.value]]
-        for stop, value, time in zip(batch["stop_sequence"], texts, batch[self.time], strict=True):
-            keep.append(stop not in known or known[stop][0] != value)
-            known[int(stop)] = (value, int(time))
-        return batch[keep], self._kept(known)
+        rows = pd.DataFrame({"trip_id": batch["trip_id"], "stop_sequence": batch["stop_sequence"].astype("int64"), "value": pd.Series(texts, dtype=object), "seen": batch[self.time].astype("int64")})
+        line = pd.concat([known, rows], ignore_index=True)
+        before = line.groupby(STOP, sort=False, dropna=False)["value"].shift()
+        first = ~line.duplicated(STOP)
+        same = (line["value"] == before) | (line["value"].isna() & before.isna())
+        fresh = (first | ~same).to_numpy()[len(known):]
+        return fresh.nonzero()[0], rows.drop_duplicates(STOP, keep="last")
 
 
 class LatestRows(_Stops):
     """The newest row of each stop that the batch made newer; the last value tells how new it is."""
 
-    def __init__(self, time: str, order: list[str], ttl_s: int):
-        self.time, self.order, self.ttl_s = time, order, ttl_s
+    def __init__(self, columns: list[str], time: str, order: list[str], ttl_s: int):
+        self.columns, self.time, self.order, self.ttl_s = columns, time, order, ttl_s
 
-    def step(self, batch: pd.DataFrame, state):
-        known, best = self._known(state), {}
-        marks = list(zip(*(batch[c].map(str if batch[c].dtype == object else "{:020d}".format) for c in self.order), strict=True))
-        for i, (stop, mark, time) in enumerate(zip(batch["stop_sequence"], marks, batch[self.time], strict=True)):
-            text = "\x00".join(mark)
-            if stop not in known or text > known[stop][0]:
-                known[int(stop)] = (text, int(time))
-                best[int(stop)] = i
-        return batch.iloc[sorted(best.values())], self._kept(known)
+    def step(self, batch: pd.DataFrame, known: pd.DataFrame):
+        marks = ["\x00".join(m) for m in zip(*(batch[c].map(str if batch[c].dtype == object else "{:020d}".format) for c in self.order), strict=True)]
+        rows = pd.DataFrame({"trip_id": batch["trip_id"], "stop_sequence": batch["stop_sequence"].astype("int64"), "value": pd.Series(marks, dtype=object), "seen": batch[self.time].astype("int64")})
+        # of equal marks the known one, then the first of the batch
+        line = pd.concat([known, rows], ignore_index=True).sort_values("value", ascending=False, kind="stable").drop_duplicates(STOP)
+        newer = line[line.index >= len(known)].sort_index()
+        return newer.index.to_numpy() - len(known), newer
 
 
 class CleanFixes(_Entity):
@@ -151,15 +197,20 @@ def _nullable(schema: T.StructType, *more: T.StructField) -> T.StructType:
     return T.StructType([*(T.StructField(f.name, f.dataType) for f in schema), *more])
 
 
+def _by_bucket(stream: DataFrame, time: str, processor: StatefulProcessor, ttl_s: int) -> DataFrame:
+    bucketed = stream.withColumn("__bucket", F.pmod(F.xxhash64("trip_id"), F.lit(BUCKETS)))
+    return _stateful(bucketed, ["__bucket"], F.col(time), processor, ttl_s, _nullable(stream.schema))
+
+
 def changes(stream: DataFrame, value: str = "rt_arrival_time", time: str = "feed_timestamp", ttl_s: int = TTL_S) -> DataFrame:
     """Records whose value differs from the one seen before for the same trip and stop; ties on time follow the other columns by name."""
-    order = [time, *sorted(set(stream.columns) - {time, "trip_id", "stop_sequence"})]
-    return _stateful(stream, ["trip_id"], F.col(time), ChangedValues(value, time, order, ttl_s), ttl_s, _nullable(stream.schema))
+    order = [time, *sorted(set(stream.columns) - {time, *STOP})]
+    return _by_bucket(stream, time, ChangedValues(stream.columns, value, time, order, ttl_s), ttl_s)
 
 
 def latest_forecasts(stream: DataFrame, order: tuple[str, ...] = ("hour_utc", "tick_ts"), ttl_s: int = TTL_S) -> DataFrame:
     """Each batch's new latest forecasts per trip and stop: the newest output row of a stop is its latest forecast."""
-    return _stateful(stream, ["trip_id"], F.col("tick_ts"), LatestRows("tick_ts", list(order), ttl_s), ttl_s, _nullable(stream.schema))
+    return _by_bucket(stream, "tick_ts", LatestRows(stream.columns, "tick_ts", list(order), ttl_s), ttl_s)
 
 
 def moving_fixes(stream: DataFrame, ttl_s: int = TTL_S) -> DataFrame:

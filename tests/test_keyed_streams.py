@@ -61,3 +61,43 @@ def test_movement_equals_the_batch(spark, tmp_path):
     want = kinematics.with_movement(kinematics.clean_fixes(spark.createDataFrame(rows, FIX)))
     columns = ["vehicle_number", "gps_timestamp_utc", "tick_ts", "delta_t_s", "delta_d_m", "speed_mps", "is_static"]
     assert sorted(got.select(*columns).collect()) == sorted(want.select(*columns).collect())
+
+
+class _Store:
+    """A state store for one key that counts its writes."""
+
+    def __init__(self):
+        self.value, self.writes, self.timers = None, 0, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.writes = value, self.writes + 1
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_a_bucket_of_trips_is_one_call(tmp_path):
+    """A thousand trips cost one write a batch, and their stops stay apart."""
+    import pandas as pd
+
+    columns = ["trip_id", "stop_sequence", "feed_timestamp", "rt_arrival_time"]
+    store, processor = _Store(), keyed.ChangedValues(columns, "rt_arrival_time", "feed_timestamp", ["feed_timestamp", "rt_arrival_time"], 1000)
+    processor.init(store)
+    kept = []
+    for at, value in ((100, 5), (200, 5), (300, 6)):
+        batch = pd.DataFrame([(f"T{i}", 1, at, value + i) for i in range(1000)], columns=columns)
+        kept.append(sum(len(out) for out in processor.handleInputRows((0,), iter([batch]), None)))
+    assert (kept, store.writes) == ([1000, 0, 1000], 3)
+    assert store.timers[-1] == 1300 * 1000
