@@ -12,7 +12,7 @@ from fleetlens.plans.queries_feeds import _ORDER, payload_ticks, tick_log
 from fleetlens.plans.queries_silver import MOVED, movement_steps
 from fleetlens.plans.registry import comparable, comparable_sql, query
 from fleetlens.plans.views_sql import with_views
-from fleetlens.session import shared_folder
+from fleetlens.session import shared_folder, written
 from fleetlens.sources import sinks, tables, ticks, versions
 from fleetlens.streaming import feeds, keyed
 
@@ -126,7 +126,7 @@ def changes_over_batches(spark, sf):
     low, high = rows.agg(F.min("feed_timestamp"), F.max("feed_timestamp")).first()
     third = F.least(F.lit(2), F.floor((F.col("feed_timestamp") - low) * 3 / F.lit(max(1, high - low))))
     for i in range(3):
-        found, state = feeds.changes(rows.filter(third == i), state, ttl_s=10**10)
+        found, state = feeds.changes(rows.filter(third == i), state, ttl_s=10**10, keep=lambda near: written(near, "changes"))
         out = found if out is None else out.unionByName(found)
     return comparable(out.select("trip_id", "stop_sequence", "feed_timestamp", "rt_arrival_time"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -27,28 +27,26 @@ Step = Callable[[DataFrame, "DataFrame | None"], tuple[DataFrame, DataFrame]]
 
 
 def changes(batch: DataFrame, state: DataFrame | None, value: str = "rt_arrival_time", time: str = "feed_timestamp",
-            ttl_s: int = STATE_TTL_S) -> tuple[DataFrame, DataFrame]:
+            ttl_s: int = STATE_TTL_S, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, DataFrame]:
     """Records whose value differs from the one seen before for the same trip and stop.
 
-    State: key, last value, last time; keys not seen for ``ttl_s`` are forgotten.
+    State: key, last value, last time; keys not seen for ``ttl_s`` are forgotten. The state joins the batch as the past of its keys, so
+    both results come from one window; ``keep`` may store its rows, which spares the second result the shuffle.
     """
-    order = [F.col(time), *[F.col(c).asc_nulls_last() for c in sorted(set(batch.columns) - {time, *STOP_KEY})]]
-    near = with_neighbours(batch, STOP_KEY, order, F.floor(F.col(time) / F.lit(3600)),
-                           lag={"__prev": F.col(value), "__seen": F.lit(True)})
-    known = F.coalesce("__seen", F.lit(False))
+    rows = batch.withColumn("__past", F.lit(False))
     if state is not None:
-        near = near.join(state.select(*STOP_KEY, F.col("last_value"), F.lit(True).alias("__in_state")), STOP_KEY, "left")
-        before = F.when(known, F.col("__prev")).otherwise(F.col("last_value"))
-        known = known | F.coalesce("__in_state", F.lit(False))
-    else:
-        before = F.col("__prev")
-    out = near.filter(~known | ~before.eqNullSafe(F.col(value))).select(*batch.columns)
-    # Ties on time follow the order above, so the last row in that order is the newest.
-    tie = F.struct(F.col(time), *[F.struct(F.col(c).isNull(), F.col(c)) for c in sorted(set(batch.columns) - {time, *STOP_KEY})])
-    newest = batch.groupBy(*STOP_KEY).agg(F.max_by(F.struct(F.col(value).alias("last_value"), F.col(time).alias("last_time")), tie).alias("n")).select(*STOP_KEY, "n.*")
-    if state is not None:
-        newest = newest.unionByName(state.join(newest.select(*STOP_KEY), STOP_KEY, "left_anti").select(*newest.columns))
-    return out, _fresh(newest, "last_time", ttl_s)
+        past = state.select(*STOP_KEY, F.col("last_value").alias(value), F.col("last_time").alias(time), F.lit(True).alias("__past"))
+        rows = rows.unionByName(past, allowMissingColumns=True)
+    # Ties on time follow the other columns, so the last row in this order is the newest.
+    order = [F.col("__past").desc(), F.col(time), *[F.col(c).asc_nulls_last() for c in sorted(set(batch.columns) - {time, *STOP_KEY})]]
+    w = Window.partitionBy(*STOP_KEY).orderBy(*order)
+    near = keep(rows.withColumns({
+        "__prev": F.lag(value).over(w), "__first": F.lag(F.lit(True)).over(w).isNull(), "__last": F.lead(F.lit(True)).over(w).isNull()}))
+    out = near.filter(~F.col("__past") & (F.col("__first") | ~F.col("__prev").eqNullSafe(F.col(value)))).select(*batch.columns)
+    newest = near.filter("__last").select(*STOP_KEY, F.col(value).alias("last_value"), F.col(time).alias("last_time"))
+    # The newest time of all rows is that of the newest rows; finding it needs no shuffle of them.
+    limit = rows.agg(F.max(time)).first()[0]
+    return out, newest if limit is None else newest.filter(F.col("last_time") >= limit - ttl_s)
 
 
 def latest_forecasts(batch: DataFrame, state: DataFrame | None, ttl_s: int = STATE_TTL_S) -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ import re
 
 from fleetlens import session
 from fleetlens.plans import gold, mart
+from fleetlens.streaming import feeds
 
 SILVER = ("service_date string, vehicle_type string, vehicle_number string, route_id string, brigade string, lat double, lon double, gps_timestamp_utc long, "
           "tick_ts long, matched_trip_id string")
@@ -60,3 +61,20 @@ def test_shuffle_partitions_follow_the_input(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset(number)
         spark.conf.set(advised, before)
+
+
+def test_changes_shuffle_rows_once(spark):
+    """Rows and state meet in one exchange; the first form cut them into hours and borders, and joined and merged the state apart."""
+    update = "trip_id string, stop_sequence int, feed_timestamp long, rt_arrival_time long"
+    batch = spark.createDataFrame([("T", 1, 20, 5), ("T", 1, 30, 6), ("U", 1, 30, 6), (None, 1, 30, 7), (None, 1, 40, 7)], update).repartition(2)
+    before = spark.createDataFrame([("T", 1, 5, 10), ("V", 1, 9, 10)], "trip_id string, stop_sequence int, last_value long, last_time long").repartition(2)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out, state = feeds.changes(batch, before, ttl_s=100)
+        for df in (out, state):
+            tree = df._jdf.queryExecution().executedPlan().treeString()
+            assert len(re.findall("Exchange hashpartitioning", tree)) == 1, tree
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted((r.trip_id or "", r.feed_timestamp) for r in out.collect()) == [("", 30), ("T", 30), ("U", 30)]
+    assert sorted((r.trip_id or "", r.last_value, r.last_time) for r in state.collect()) == [("", 7, 40), ("T", 6, 30), ("U", 6, 30), ("V", 9, 10)]
