@@ -8,8 +8,8 @@ span or each other (the more probable one wins, then the earlier, then the order
 Labels: positive are disguised twins of base spans ("a at b dot com", "1[.]2[.]3[.]4", a phone number without its country code), in the base span's own
 context. Negative are candidates that fail a hard check (no Luhn sum, a part above 255, a domain end that is no known suffix, more digits or letters right at
 the span) and decoys: twins broken so that they fail such a check, or moved to another place of the text, as numbers without any grouping. All other candidates
-may be real disguised data and have no label. Thresholds are calibrated on held-out twins against held-out negatives. Training reads at most ``TRAIN_ROWS``
-labelled examples (a documented bound), drawn evenly from the kinds and labels by a hash of document and place and weighted back to their numbers; every text
+may be real disguised data and have no label. Thresholds are calibrated on held-out twins against held-out negatives. Training and
+calibration read every labelled example, equal ones as one row weighted by their number; a caller may bound them. Every text
 is scanned and scored whole, very long ones too, in time linear in their length.
 
 Null and empty texts have no spans. Every input row gives one row, repeated rows too; a null doc_id stays null; other columns are
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import rows_of, stored, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Labelled candidates used for training and calibration.
-TRAIN_ROWS = 20_000
+#: Distinct examples of a training partition.
+FIT_ROWS = 20_000
+#: Steps of a unit of the margin in which thresholds are counted.
+STEPS = 1024
 #: Share of right spans that a kind's threshold must reach on the held-out fold.
 PRECISION = 0.98
 
@@ -227,11 +229,21 @@ def _exported(tree) -> np.ndarray:
     return np.array(rows)
 
 
-def sampled(found: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(y, x, weight, held): at most an equal share of ``rows`` of each kind and label; one row in five, by another hash, is held out."""
-    share = max(1, rows // (2 * len(KINDS)))
+def labelled_rows(found: DataFrame) -> DataFrame:
+    """(y, x, kind, order, held): every labelled example; one in five, by a hash of its place, is held out."""
     place = ("doc_id", "l.s", "l.e", "l.x")
-    examples = found.select("doc_id", F.explode("labelled").alias("l")).select("l.y", "l.x", F.col("l.x")[0].alias("kind"), F.xxhash64(*place).alias("order"), (F.pmod(F.xxhash64(F.lit("held"), *place), F.lit(5)) == 0).alias("held"))
+    return found.select("doc_id", F.explode("labelled").alias("l")).select("l.y", "l.x", F.col("l.x")[0].alias("kind"), F.xxhash64(*place).alias("order"), (F.pmod(F.xxhash64(F.lit("held"), *place), F.lit(5)) == 0).alias("held"))
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """(y, x, weight, held): all labelled examples, equal ones as one row with their number as weight."""
+    return labelled_rows(found).groupBy("y", "x", "held").agg(F.count("*").cast("double").alias("weight"))
+
+
+def sampled(found: DataFrame, rows: int) -> DataFrame:
+    """(y, x, weight, held): at most an equal share of ``rows`` of each kind and label, for callers that bound their examples."""
+    share = max(1, rows // (2 * len(KINDS)))
+    examples = labelled_rows(found)
     strata = examples.groupBy("kind", "y").agg(F.count("*").alias("n"))
     # about twice the share gets as far as the windows
     near = examples.join(F.broadcast(strata), ["kind", "y"]).filter(F.pmod("order", F.lit(1_000_003)) * F.col("n") < F.lit(2 * share * 1_000_003).cast("long"))
@@ -240,29 +252,39 @@ def sampled(found: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     return taken.withColumn("weight", F.col("n") / F.count("*").over(own)).select("y", "x", "weight", "held")
 
 
-def train(found: DataFrame, rows: int = TRAIN_ROWS, precision: float = PRECISION) -> Trees:
-    """Boosted trees on four folds of the labelled candidates; thresholds on the fifth."""
-    sample = stored(sampled(found, rows), "pii-labels")
-    fit = sample.filter("NOT held").select(F.col("y").alias("label"), "weight", array_to_vector("x").alias("features")).coalesce(2)
+def train(found: DataFrame, rows: int | None = None, precision: float = PRECISION) -> Trees:
+    """Boosted trees on four folds of the labelled candidates; thresholds on the fifth. ``rows`` bounds the examples, without it all are used."""
+    known = stored(merged(found) if rows is None else sampled(found, rows), "pii-labels")
+    fit = known.filter("NOT held").select(F.col("y").alias("label"), "weight", array_to_vector("x").alias("features"))
     if fit.select("label").distinct().count() < 2:
         return Trees()
+    fit = fit.coalesce(2 + fit.count() // FIT_ROWS)
     model = GBTClassifier(maxIter=12, maxDepth=4, seed=7, stepSize=0.3, checkpointInterval=-1, weightCol="weight").fit(fit)
     trees = Trees([_exported(t) for t in model.trees], list(model.treeWeights))
-    held = sample.filter("held").select("y", "x", "weight").toPandas()  # at most `rows` rows
-    if len(held):
-        x, y, w = np.stack(held.x), held.y.to_numpy(), held.weight.to_numpy()
-        m = trees.margin(x)
-        for i, kind in enumerate(KINDS):
-            own = x[:, 0] == i
-            order = np.argsort(-m[own], kind="stable")
-            right = np.cumsum((y * w)[own][order]) / np.cumsum(w[own][order])
-            edge = np.append(np.diff(m[own][order]) != 0, True)[: own.sum()]  # ties go together
-            good = np.flatnonzero((right >= precision) & edge & (m[own][order] > 0))
-            if len(good):
-                trees.thresholds[kind] = float(m[own][order][good[-1]])
+    trees.thresholds = thresholds(known.filter("held"), trees, precision)
     return trees
 
 
+def thresholds(held: DataFrame, trees: Trees, precision: float) -> dict[str, float]:
+    """The least margin of each kind, in steps, from which on the share of right examples reaches ``precision``."""
+    def steps(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf.x)
+                yield pd.DataFrame({"kind": x[:, 0].astype(int), "step": np.floor(trees.margin(x) * STEPS).astype(int), "right": pdf.y * pdf.weight, "weight": pdf.weight})
+
+    counts = held.select("y", "x", "weight").mapInPandas(steps, "kind int, step long, right double, weight double")
+    # The margins' range bounds the steps: about 9,000 a kind.
+    rows = counts.groupBy("kind", "step").agg(F.sum("right").alias("right"), F.sum("weight").alias("weight")).toPandas()
+    out = {}
+    for i, kind in enumerate(KINDS):
+        own = rows[(rows.kind == i) & (rows.step > 0)].sort_values("step", ascending=False)
+        good = own.step[own.right.cumsum() / own.weight.cumsum() >= precision]
+        if len(good):
+            out[kind] = float(good.iloc[-1]) / STEPS
+    return out
+
+
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
 

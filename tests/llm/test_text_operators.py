@@ -513,3 +513,17 @@ def test_pipeline(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         odd_rows = stage(spark, odd_rows, SF)
     assert odd_rows.count() == 3
+
+
+def test_personal_data_learns_from_every_example(spark):
+    """A form that only eight of 200,000 examples have; a sample of 20,000 held none of them."""
+    n = 23
+    vector = lambda form: F.concat(F.array(F.lit(0.0), form.cast("double")), F.array_repeat(F.lit(0.0), n - 2))
+    rows = spark.range(200_000).withColumn("form", F.when(F.col("id") < 8, 2).otherwise(F.col("id") % 2))
+    found = rows.select(F.col("id").alias("doc_id"), F.array(F.struct(
+        (F.col("form") == 1).cast("double").alias("y"), F.lit(0).alias("s"), F.lit(1).alias("e"), vector(F.col("form")).alias("x"))).alias("labelled"))
+    assert pii.merged(found).agg(F.sum("weight")).first()[0] == 200_000
+    trees = pii.train(found)
+    margins = trees.margin(np.array([[0.0, form, *[0.0] * (n - 2)] for form in (0, 1, 2)]))
+    assert margins[0] < 0 < margins[1] and margins[2] < 0
+    assert 0 < trees.thresholds["email"] <= margins[1]
