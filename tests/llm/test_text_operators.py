@@ -527,3 +527,16 @@ def test_personal_data_learns_from_every_example(spark):
     margins = trees.margin(np.array([[0.0, form, *[0.0] * (n - 2)] for form in (0, 1, 2)]))
     assert margins[0] < 0 < margins[1] and margins[2] < 0
     assert 0 < trees.thresholds["email"] <= margins[1]
+
+
+def test_pipeline_batches_are_small_and_the_session_is_left_as_it_was(spark):
+    before = spark.conf.get(corpus_pipeline.BATCH)
+    with corpus_pipeline.small_batches(spark):
+        assert spark.conf.get(corpus_pipeline.BATCH) == corpus_pipeline.BATCH_ROWS
+    assert spark.conf.get(corpus_pipeline.BATCH) == before
+    spark.conf.set(corpus_pipeline.BATCH, "77")
+    try:
+        with corpus_pipeline.small_batches(spark):
+            assert spark.conf.get(corpus_pipeline.BATCH) == "77"
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH, before)
