@@ -47,7 +47,7 @@ SHAPES = ("shapes", """SELECT DISTINCT 'SH'||r::VARCHAR AS shape_id, a*2 + h AS
 
 
 def shapes(spark, sf):
-    rows = domain.latest_lines(spark, sf).join(domain.trips(spark, sf), F.col("l_orderkey") == F.col("trip_no"))
+    rows = domain.trip_lines(spark, sf)
     a = F.col("l_partkey") % 12
     n = (F.col("r") * 5 + a) % 100
     h = F.col("h")

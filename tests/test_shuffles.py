@@ -2,8 +2,11 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from fleetlens import session
-from fleetlens.plans import gold, mart
+from fleetlens.operators import trajectory
+from fleetlens.plans import catalog, domain, gold, mart
 from fleetlens.streaming import feeds
 
 SILVER = ("service_date string, vehicle_type string, vehicle_number string, route_id string, brigade string, lat double, lon double, gps_timestamp_utc long, "
@@ -78,3 +81,39 @@ def test_changes_shuffle_rows_once(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sorted((r.trip_id or "", r.feed_timestamp) for r in out.collect()) == [("", 30), ("T", 30), ("U", 30)]
     assert sorted((r.trip_id or "", r.last_value, r.last_time) for r in state.collect()) == [("", 7, 40), ("T", 6, 30), ("U", 6, 30), ("V", 9, 10)]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan_of(spark, build):
+    """Physical plan without adaptive execution and broadcasts, in which every join and group that needs a shuffle shows it."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return build()._jdf.queryExecution().executedPlan().treeString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_links_need_no_shuffle_beyond_lines_and_trips(spark):
+    """The first form stored the stop events and shuffled them again for the windows along a trip."""
+    tree = plan_of(spark, lambda: mart.observed_links(domain.stop_events.view(spark, SF)))
+    assert len(re.findall("Exchange", tree)) == 2 and len(re.findall(r"Exchange hashpartitioning\(trip_id#\d+, \d+\)", tree)) == 2, tree
+
+
+def test_deduplicated_updates_stay_where_they_met_their_trip(spark):
+    def build():
+        return trajectory.with_update_lags(trajectory.last_ping_per_stop(trajectory.with_trip_instance(domain.stop_updates.view(spark, SF))))
+
+    tree = plan_of(spark, build)
+    assert len(re.findall("Exchange", tree)) == 2, tree
+
+
+def test_inventory_computes_no_headways(spark, monkeypatch):
+    """The first form stored both marts whole; the legacy one took its links twice."""
+    monkeypatch.setattr(domain, "stored", None)
+    tree = plan_of(spark, lambda: catalog.QUERIES["q6_track_inventory"](spark, SF))
+    assert not re.search("headway|median.*prev_stop_id", tree)
+    assert len(re.findall(r"Exchange hashpartitioning\(trip_id#\d+, \d+\)", tree)) <= 4, tree
