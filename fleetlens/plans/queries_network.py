@@ -244,7 +244,7 @@ def slug_rate(spark, sf):
 @query("j24_shared_vehicles", with_views(["vehicle_fixes", "stop_updates"], """SELECT (SELECT count(DISTINCT vehicle_number) FROM vehicle_fixes) AS left_codes, (SELECT count(DISTINCT vehicle_id) FROM stop_updates) AS right_codes,
   (SELECT count(*) FROM (SELECT DISTINCT vehicle_number FROM vehicle_fixes) WHERE vehicle_number IN (SELECT vehicle_id FROM stop_updates)) AS common_codes"""))
 def shared_vehicles(spark, sf):
-    return nw.shared_codes(domain.vehicle_fixes(spark, sf), domain.stop_updates(spark, sf).withColumnRenamed("vehicle_id", "vehicle_number"), "vehicle_number")
+    return nw.shared_codes(domain.vehicle_fixes.view(spark, sf), domain.stop_updates.view(spark, sf).withColumnRenamed("vehicle_id", "vehicle_number"), "vehicle_number")
 
 
 LINEAR = [SHAPES, ("pl", "SELECT *, (lon - 21.01::DOUBLE)*68325.49::DOUBLE AS x, (lat - 52.23::DOUBLE)*111271.72::DOUBLE AS y FROM shapes"),

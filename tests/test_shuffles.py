@@ -117,3 +117,12 @@ def test_inventory_computes_no_headways(spark, monkeypatch):
     tree = plan_of(spark, lambda: catalog.QUERIES["q6_track_inventory"](spark, SF))
     assert not re.search("headway|median.*prev_stop_id", tree)
     assert len(re.findall(r"Exchange hashpartitioning\(trip_id#\d+, \d+\)", tree)) <= 4, tree
+
+
+def test_vehicle_codes_are_not_stored_first(spark, monkeypatch):
+    """The first form wrote every fix, with position and clock text, to count vehicle numbers."""
+    monkeypatch.setattr(domain, "stored", None)
+    found = catalog.QUERIES["j24_shared_vehicles"](spark, SF).first()
+    trips = spark.read.parquet(f"{SF}/orders.parquet").join(spark.read.parquet(f"{SF}/lineitem.parquet"), F.col("o_orderkey") == F.col("l_orderkey"))
+    assert found.right_codes == trips.select(F.col("o_orderkey") % 250).distinct().count()
+    assert found.left_codes == found.common_codes + 1  # X1
