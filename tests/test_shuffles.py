@@ -141,3 +141,17 @@ def test_trip_lines_aggregate_no_rows(spark):
     """The first form kept whole rows in an aggregate on sorts and moved every column of the lines."""
     tree = plan_of(spark, lambda: domain.trip_lines(spark, SF).select("trip_id", "l_linenumber", "start_sec"))
     assert "SortAggregate" not in tree and "max_by" not in tree, tree
+
+
+def test_match_takes_a_duty_s_times_not_its_trips(spark, tmp_path, monkeypatch):
+    """Trips with the same start and end give one step function; the first form carried each of them through its windows, and fixes through a shuffle."""
+    from fleetlens.operators import schedule
+
+    kept = {}
+    monkeypatch.setattr(schedule, "written", lambda df, name: kept.setdefault(name, session.written(df, name)))
+    spans = spark.range(200).select(F.format_string("T%03d", "id").alias("trip_id"), F.lit("5").alias("route_id"), F.lit("1").alias("brigade"), F.lit("s").alias("service_id"),
+                                    F.format_string("08:%02d:00", F.col("id") % 4 * 10).alias("trip_start"), (28800 + F.col("id") % 4 * 600).alias("start_sec"), (29700 + F.col("id") % 4 * 600).alias("end_sec"))
+    fixes = spark.createDataFrame([(f"2026-10-19 {t}", "5", "1") for t in ("07:44:00", "07:50:00", "08:05:00", "08:16:00", "08:50:00", "09:35:00")], "gps_time_str string, route_id string, brigade string")
+    got = schedule.match_trips(fixes, spans).collect()
+    assert {r.gps_time_str[11:16]: r.matched_trip_id for r in got} == {"07:44": None, "07:50": "T000", "08:05": "T000", "08:16": "T001", "08:50": "T003", "09:35": None}
+    assert kept["timetable-kinds"].count() == 4 and kept["timetable-pieces"].filter("__shift = 0").count() <= 8
