@@ -155,3 +155,12 @@ def test_match_takes_a_duty_s_times_not_its_trips(spark, tmp_path, monkeypatch):
     got = schedule.match_trips(fixes, spans).collect()
     assert {r.gps_time_str[11:16]: r.matched_trip_id for r in got} == {"07:44": None, "07:50": "T000", "08:05": "T000", "08:16": "T001", "08:50": "T003", "09:35": None}
     assert kept["timetable-kinds"].count() == 4 and kept["timetable-pieces"].filter("__shift = 0").count() <= 8
+
+
+def test_trips_are_not_shuffled_by_service(spark):
+    """The first form joined trips and days by service: two keys for all trips."""
+    from fleetlens.operators import schedule
+    from fleetlens.plans import queries_silver
+
+    tree = plan_of(spark, lambda: schedule.spans_by_day(queries_silver.spans(spark, SF), queries_silver.active(spark, SF)))
+    assert "BroadcastHashJoin [service_id" in tree and not re.search(r"Exchange hashpartitioning\(service_id#\d+, \d+\)", tree), tree
