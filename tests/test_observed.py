@@ -185,3 +185,24 @@ def test_network_fixtures(spark):
         spark.createDataFrame([("a", "17"), ("b", "33")], "trip_id string, route_id string"))
     got = {r.stop_id: (r.interchange_line_count, r.is_metro_proximity) for r in hubs.collect()}
     assert got == {"1001": (2, 1), "2001": (1, 0)}
+
+
+def test_trips_cut_by_batches_fold_alike(spark, monkeypatch):
+    """Batches end anywhere; a trip's fixes are held until it is whole."""
+    import pyarrow as pa
+
+    from fleetlens.operators import stop_events
+
+    rng = random.Random(8)
+    lon = lambda x: x / geo.M_PER_DEG_LON + geo.LON_0
+    rows = [(*fix(geo.LAT_0, lon(rng.uniform(-20, 1020)), t, t), f"T{k}") for k in range(30) for t in rng.sample(range(100, 9000), rng.randint(1, 25))]
+    fixes = spark.createDataFrame(rows, FIX + ", trip_id string")
+    times, place = stop_tables(spark, [(1, 0.0, 0.0), (2, 500.0, 0.0), (3, 1000.0, 0.0)])
+    times = times.drop("trip_id").join(fixes.select("trip_id").filter("trip_id <> 'T7'").distinct())
+    key = ["trip_id"]
+    table = stop_events.trip_rows(stop_events.dominant_fixes(fixes, key), stop_events.planned_trips(times, place, key), key).toArrow()
+    whole = pa.Table.from_batches(stop_events._fold_batches(iter(table.combine_chunks().to_batches()), 25.0)).sort_by([("trip_id", "ascending"), ("stop_sequence", "ascending")])
+    assert whole.num_rows > 30 and "T7" not in whole.column("trip_id").to_pylist()
+    monkeypatch.setattr(stop_events, "FOLD_ROWS", 40)
+    cut = pa.Table.from_batches(stop_events._fold_batches(iter(table.combine_chunks().to_batches(max_chunksize=7)), 25.0))
+    assert cut.sort_by([("trip_id", "ascending"), ("stop_sequence", "ascending")]).to_pylist() == whole.to_pylist()

@@ -170,3 +170,12 @@ def test_delay_records_store_no_updates_and_times_first(spark, monkeypatch):
     """The first form wrote all updates and stop times and shuffled them again."""
     monkeypatch.setattr(domain, "stored", None)
     assert catalog.QUERIES["s7_j13_delay_records"](spark, SF).columns[:2] == ["feed_timestamp", "trip_id"]
+
+
+def test_stop_events_store_no_fixes_and_shuffle_none(spark, monkeypatch):
+    """The first form wrote every fix, read it back and shuffled it by trip; fixes now stay where their lines met their trip."""
+    kept, store = [], domain.stored
+    monkeypatch.setattr(domain, "stored", lambda spark, key, build: kept.append(key) or store(spark, key, build))
+    tree = plan_of(spark, lambda: catalog.QUERIES["c3_stop_event_fold"](spark, SF))
+    assert {k.split("_/")[0] for k in kept} == {"stop_times"}, kept
+    assert not re.search("Exchange", tree[tree.index("MapInArrow"):tree.index("Generate explode")].split("SortMergeJoin")[1]), tree
