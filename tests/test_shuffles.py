@@ -179,3 +179,10 @@ def test_stop_events_store_no_fixes_and_shuffle_none(spark, monkeypatch):
     tree = plan_of(spark, lambda: catalog.QUERIES["c3_stop_event_fold"](spark, SF))
     assert {k.split("_/")[0] for k in kept} == {"stop_times"}, kept
     assert not re.search("Exchange", tree[tree.index("MapInArrow"):tree.index("Generate explode")].split("SortMergeJoin")[1]), tree
+
+
+def test_trajectory_makes_its_rows_once(spark, monkeypatch):
+    """The first form stored all updates, and made and shuffled the rows once more for the medians."""
+    monkeypatch.setattr(domain, "stored", None)
+    tree = plan_of(spark, lambda: catalog.QUERIES["c5_trajectory"](spark, SF))
+    assert "Window" not in tree and "Exchange hash" not in tree and "BroadcastHashJoin" in tree, tree
