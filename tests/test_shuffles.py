@@ -186,3 +186,11 @@ def test_trajectory_makes_its_rows_once(spark, monkeypatch):
     monkeypatch.setattr(domain, "stored", None)
     tree = plan_of(spark, lambda: catalog.QUERIES["c5_trajectory"](spark, SF))
     assert "Window" not in tree and "Exchange hash" not in tree and "BroadcastHashJoin" in tree, tree
+
+
+def test_chain_stores_no_trajectories(spark, monkeypatch):
+    """The first form wrote the matched fixes between the tiers, as the fold read them twice."""
+    from fleetlens.plans import queries_chain
+
+    monkeypatch.setattr(queries_chain, "written", None, raising=False)
+    assert catalog.QUERIES["e1_fixes_to_stop_events"](spark, SF).columns[:2] == ["service_date", "trip_id"]
